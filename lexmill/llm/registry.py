@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import linedup, mixing
+from lexmill.llm import linedup, mixing, packing, rans
 
 QUERIES = {
     "op4_line_dedup": linedup.op4_line_dedup,
+    "op5_token_ids": rans.op5_token_ids,
+    "op7_packing": packing.op7_packing,
     "op9_mixing": mixing.op9_mixing,
 }
 
