@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import linedup, mixing, packing, rans
+from lexmill.llm import linedup, mixing, neardup, packing, rans
 
 QUERIES = {
+    "op3_neardup": neardup.op3_neardup,
     "op4_line_dedup": linedup.op4_line_dedup,
     "op5_token_ids": rans.op5_token_ids,
     "op7_packing": packing.op7_packing,
