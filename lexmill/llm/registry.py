@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from lexmill.llm import linedup, mixing, neardup, packing, rans
+from lexmill.llm import ann, linedup, mixing, neardup, packing, rans, topk
 
 QUERIES = {
     "op3_neardup": neardup.op3_neardup,
     "op4_line_dedup": linedup.op4_line_dedup,
     "op5_token_ids": rans.op5_token_ids,
+    "op6_exact_topk": topk.op6_exact_topk,
     "op7_packing": packing.op7_packing,
     "op9_mixing": mixing.op9_mixing,
+    "op10_ann": ann.op10_ann,
 }
 
 ORACLES = {
     "op4_line_dedup": linedup.ORACLE,
+    "op6_exact_topk": topk.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
