@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexmill.llm import ann, linedup, mixing, neardup, packing, rans, topk
+from lexmill.llm import ann, linedup, mixing, neardup, packing, quality, rans, topk
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_neardup": neardup.op3_neardup,
     "op4_line_dedup": linedup.op4_line_dedup,
     "op5_token_ids": rans.op5_token_ids,
