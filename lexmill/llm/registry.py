@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import ann, linedup, mixing, neardup, packing, quality, rans, topk
+from lexmill.llm import ann, hmm, linedup, mixing, neardup, packing, quality, rans, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_hmm": hmm.op2_hmm,
     "op3_neardup": neardup.op3_neardup,
     "op4_line_dedup": linedup.op4_line_dedup,
     "op5_token_ids": rans.op5_token_ids,
