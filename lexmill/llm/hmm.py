@@ -172,11 +172,11 @@ def _score(shared, logs):
         for batch in text_slices(batches):
             ids, bounds, tails = model.symbols(batch.column("text").to_pylist())
             score = forward_backward(ids, bounds, model.start, model.trans, model.emit)
-            sums, counts = (np.concatenate([[0], np.cumsum(x[ids])]) for x in (base, known))
+            sums, counts = (np.add.reduceat(x[ids], bounds[:-1]) for x in (base, known))  # every text has its end
             tail = [[{"w": w, "n": n, "cls": word_class(w)} for w, n in Counter(t).items()] for t in tails]
             n = batch.num_rows
             kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32()), ("cls", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.diff(counts[bounds]).astype(np.int64)), pa.array(np.array([sums[b] - sums[a] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.float64)), pa.array(score), pa.array(tail, kind)], ["row", "doc_id", "n_tokens", "n_head", "base", "hmm", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(counts.astype(np.int64)), pa.array(sums), pa.array(score), pa.array(tail, kind)], ["row", "doc_id", "n_tokens", "n_head", "base", "hmm", "tail"])
             row += n
 
     return run
