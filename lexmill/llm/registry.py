@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import ann, hmm, linedup, mixing, neardup, packing, quality, rans, topk
+from lexmill.llm import ann, hmm, linedup, mixing, neardup, packing, quality, rans, suffix, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_ids": rans.op5_token_ids,
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_packing": packing.op7_packing,
+    "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_ann": ann.op10_ann,
 }
