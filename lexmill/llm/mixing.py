@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, Workspace, table
+from lexmill.llm.common import WORD, Workspace, free_name, table
 
 #: Slices of the seeded order; a source of any size is cut into so many, and only one of them is sorted.
 SLICES = 4096
+#: Rows of the table of slices up to which it is broadcast; beyond it, it is joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, source: str, total: str, cycle: int, max_epochs: int) -> DataFrame:
@@ -35,7 +37,8 @@ def source_targets(sizes: DataFrame, source: str, total: str, cycle: int, max_ep
         .withColumn("_level", (F.col("_all") - F.col("_capped")).cast("double") / (F.col("_weights") - F.col("_gone")))
         .withColumn("_full", F.col("_level") * F.col("_w") >= F.col("_cap"))
     )
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
+    # Taking a source as full that is not lowers the level, so the level of the first that is not is the highest.
+    level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(everything)
     return w.withColumn("target", F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(level * F.col("_w"))).select(
         source, total, F.col("_w").alias("weight"), "target"
     )
@@ -46,50 +49,63 @@ def _seeded(key: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, max_epochs: int = 3, seed: str = "mix-1") -> DataFrame:
-    """Every document with how many times the mix takes it.
+    """The rows of ``docs`` with ``size, source_size, target, reps``: how many times the mix takes each.
 
-    Returns ``doc_id, source, size, source_size, target, reps``; ``reps`` counts
-    whole repetitions. A source with target t and size s repeats all its
-    documents floor(t / s) times; the remaining r = t - floor(t / s) * s words
-    come from the documents first in an order seeded by the md5 of their id: a
-    document is taken once more while the words before it plus half of its own
-    are at most r, so a source misses its target by half a document at most.
+    A source with target t and size s repeats all its documents floor(t / s)
+    times; the remaining r = t - floor(t / s) * s words come from the documents
+    first in an order seeded by the md5 of their id: a document is taken once
+    more while the words before it plus half of its own are at most r, so a
+    source misses its target by half a document at most.
 
     Null texts have size 0; null sources are one source; null ids take part.
-    Rows that repeat a document are documents of their own, ordered by size and
-    content-blind after their common id. Extra columns are ignored. An empty
-    table gives no rows. Targets of a source without words are 0.
+    Rows that repeat an id are documents of their own, in the order of their
+    sizes. Columns whose names clash with the new ones keep theirs, and the new
+    ones get a leading ``_``. An empty table gives no rows. A source without
+    words has target 0.
 
     The running sums need no source in one task: words are summed by source and
     slice of the seeded order, and only the slice where r falls is sorted.
+    Texts stay where they are, as the sums are broadcast while they are few.
     """
-    spark_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    keyed = spark_docs.withColumn("_order", _seeded(F.col("doc_id"), seed)).withColumn("_slice", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") / (2**32 // SLICES), F.lit(SLICES)).cast("int"))
+    size, source_size, target, reps, order, part = (free_name(docs, n) for n in ("size", "source_size", "target", "reps", "order_", "slice_"))
+    keyed = docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")).withColumn(order, _seeded(F.col(id_col), seed))
+    keyed = keyed.withColumn(part, (F.conv(F.substring(order, 1, 8), 16, 10).cast("long") / (2**32 // SLICES)).cast("int"))
     space = Workspace(spark, "mix")
-    keyed = space.save(keyed, "sizes")
-    per_slice = keyed.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
-    per_source = per_slice.groupBy("source").agg(F.sum("_words").alias("source_size"))
-    targets = source_targets(per_source, "source", "source_size", cycle, max_epochs)
-    targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = space.save(keyed.groupBy(F.col(source_col).alias("_s"), F.col(part).alias("_k")).agg(F.sum(size).alias("_words")), "sizes")
+    per_source = per_slice.groupBy("_s").agg(F.sum("_words").alias("_size"))
+    targets = source_targets(per_source, "_s", "_size", cycle, max_epochs)
+    targets = targets.withColumn("_whole", F.when(F.col("_size") > 0, F.floor(F.col("target") / F.col("_size"))).otherwise(0).cast("long"))
+    targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("_size"))
+    earlier = Window.partitionBy("_s").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     slices = per_slice.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
-    slices = slices.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    slices = slices.join(targets.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     # Which slices are taken whole, not at all, or cut by the limit.
     slices = slices.withColumn("_state", F.when(F.col("_before") + F.col("_words") <= F.col("_rest"), 1).when(F.col("_before") > F.col("_rest"), 0).otherwise(2))
-    slices = space.save(slices.select(F.col("source").alias("_s"), F.col("_slice").alias("_k"), "source_size", "target", "_whole", "_rest", "_before", "_state"), "slices")
-    joined = keyed.join(slices, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k"))).drop("_s", "_k")
-    inside = Window.partitionBy("source", "_slice").orderBy("_order", "doc_id", "size")
-    cut = joined.filter("_state = 2").withColumn("_upto", F.col("_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.withColumn("_more", (F.col("_upto") - F.col("size") / 2 <= F.col("_rest")).cast("long")).drop("_upto")
-    even = joined.filter("_state <> 2").withColumn("_more", F.col("_state").cast("long"))
+    slices = slices.select("_s", "_k", F.struct(F.col("_size").alias("size"), "target", F.col("_whole").alias("whole"), F.col("_rest").alias("rest"), F.col("_before").alias("before"), F.col("_state").alias("state")).alias(free_name(docs, "mix_")))
+    slices = space.save(slices, "slices")
+    at = F.col(slices.columns[2])
+    small = F.broadcast(slices) if slices.count() <= BROADCAST_ROWS else slices
+    joined = keyed.join(small, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col(part) == F.col("_k"))).drop("_s", "_k")
+    inside = Window.partitionBy(source_col, part).orderBy(order, id_col, size).rowsBetween(Window.unboundedPreceding, 0)
+    more = free_name(docs, "more_")
+    cut = joined.filter(at["state"] == 2).withColumn(more, (at["before"] + F.sum(size).over(inside) - F.col(size) / 2 <= at["rest"]).cast("long"))
+    even = joined.filter(at["state"] != 2).withColumn(more, at["state"].cast("long"))
     return even.unionByName(cut).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_whole") + F.when(F.col("_whole") < max_epochs, F.col("_more")).otherwise(0)).alias("reps")
+        *docs.columns, size, at["size"].alias(source_size), at["target"].alias(target), (at["whole"] + F.when(at["whole"] < max_epochs, F.col(more)).otherwise(0)).alias(reps)
     )
 
 
+def repeat_documents(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; documents without words are not taken."""
+    reps = free_name(docs, "reps")
+    size = free_name(docs, "size")
+    mixed = mix(docs, spark, **options).filter(F.col(size) > 0)
+    times = free_name(docs, "times_")
+    return mixed.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(reps).cast("int")))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), spark)
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), spark)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size")).alias("taken"), "source")
 
 
@@ -111,7 +127,7 @@ levels AS (SELECT *, (total - capped)::DOUBLE / (weights - gone) AS level FROM r
 full_ones AS (SELECT *, level * w >= cap AS is_full FROM levels),
 targets AS (
   SELECT source, source_size,
-         CASE WHEN is_full THEN cap::DOUBLE ELSE MIN(CASE WHEN NOT is_full THEN level END) OVER () * w END AS target
+         CASE WHEN is_full THEN cap::DOUBLE ELSE MAX(CASE WHEN NOT is_full THEN level END) OVER () * w END AS target
   FROM full_ones),
 split AS (
   SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
