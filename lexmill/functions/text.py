@@ -7,6 +7,7 @@ import textwrap
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What marks a citation that already is complete, and the code's own prefix.
 CITED = ("smc", "title", "chapter")
@@ -56,13 +57,13 @@ def chunk_id(title: Column, chapter: Column, section: Column | None, index: Colu
     return F.concat_ws("-", F.lit(prefix), title.cast("string"), sanitize(chapter), suffix, index.cast("string"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shorten(texts: pd.Series) -> pd.Series:
     """At most 1200 characters, cut at a word, with `` …`` where something is missing."""
     return texts.map(lambda t: None if t is None else textwrap.shorten(t, width=1200, placeholder=" …"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Lower case without accents, as the full-text tokenizer folds."""
     import unicodedata

@@ -25,7 +25,7 @@ def lookup(requests: DataFrame, parcels: DataFrame, city: str = "SEATTLE") -> Da
     """Candidates of each request: the rows of the first attempt that finds any, ten at most, by full address.
 
     1. full address begins with the request's (and has its number); 2. number and
-    first street word; 3. street anywhere; 4. number alone. Attempts with a house
+    first street word; 3. street anywhere; 4. number alone; for a blank request any. Attempts with a house
     number are equi-joins on it. The contains attempt has no key: requests, which
     are what users type, are broadcast for it alone.
     """
@@ -38,7 +38,8 @@ def lookup(requests: DataFrame, parcels: DataFrame, city: str = "SEATTLE") -> Da
     loose = F.broadcast(requests.filter(F.col("street") != "")).join(p, F.col("_full").contains(F.col("street")))
     third = loose.withColumn("attempt", F.lit(3))
     bare = F.broadcast(requests.filter(F.col("number").isNull() & (F.col("norm") != ""))).join(p, starts).withColumn("attempt", F.lit(1))
-    found = reduce(DataFrame.unionByName, [first, bare, second, third, fourth])
+    blank = F.broadcast(requests.filter(F.col("norm") == "")).join(p, F.col("_full").contains(" ")).withColumn("attempt", F.lit(5))
+    found = reduce(DataFrame.unionByName, [first, bare, second, third, fourth, blank])
     w = Window.partitionBy("request")
     found = found.withColumn("_first", F.min("attempt").over(w)).filter(F.col("attempt") == F.col("_first"))
     order = Window.partitionBy("request").orderBy("ADDR_FULL", "PIN")

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lexmill.plans import documents, records, retrieval
+
+QUERIES = documents.QUERIES | retrieval.QUERIES | records.QUERIES
+ORACLES = documents.ORACLES | retrieval.ORACLES | records.ORACLES
