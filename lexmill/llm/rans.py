@@ -16,8 +16,8 @@ from lexmill.llm.common import Workspace, crc32_ids, table, text_slices
 from lexmill.llm.tokens import encoder, tokenizer_path
 
 BITS = 20  # the frequencies of a table sum to 2**BITS
-LANES = 256  # interleaved states of a block
-BLOCK_IDS = 65_536  # a block closes after the document that reaches so many ids
+LANES = 1024  # interleaved states of a block
+BLOCK_IDS = 262_144  # a block closes after the document that reaches so many ids
 CHECKPOINT_STEPS = 128  # steps of all lanes between two checkpoints
 MAGIC = b"LXR1"
 _LOW = np.uint64(1 << 32)  # states lie in [2**32, 2**64)
@@ -112,17 +112,22 @@ class Coder:
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = encoder(path), TaskContext.get().partitionId(), 0
+        counts = np.zeros(max(end_id + 1, coder.tokenizer.get_vocab_size()), np.int64)
         for batch in text_slices(batches):
             ids, lens = coder.encode(batch.column("text").to_pylist())
             ends = np.cumsum(lens)
             ids = np.insert(ids, ends, end_id).astype("<u2" if coder.tokenizer.get_vocab_size() <= 65536 else "<u4")
+            counts += np.bincount(ids, minlength=len(counts))
             lens = lens + 1
             starts = start + np.cumsum(lens) - lens
             start += int(lens.sum())
             offsets = np.concatenate([[0], np.cumsum(lens * ids.itemsize)]).astype(np.int32)
             blob = pa.BinaryArray.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lens), part, np.int32)), batch.column("doc_id"), pa.array(starts), pa.array(lens), blob, pa.array(np.full(len(lens), ids.itemsize, np.int32))], ["part", "doc_id", "rel", "n_tokens", "ids", "wide"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lens), part, np.int32)), batch.column("doc_id"), pa.array(starts), pa.array(lens), blob, pa.array(np.full(len(lens), ids.itemsize, np.int32))], names)
+        # The task's counts end its rows, so the frequencies need no second pass over the ids.
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary()), pa.array([8], pa.int32())], names)
 
+    names = ["part", "doc_id", "rel", "n_tokens", "ids", "wide"]
     return run
 
 
@@ -131,15 +136,11 @@ def _ids(batch: pa.RecordBatch, i: int, wide: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
     for batch in batches:
         for i in range(batch.num_rows):
-            seen = np.bincount(_ids(batch, i, batch.column("wide")[i].as_py()))
-            if len(seen) > len(counts):
-                counts = np.pad(counts, (0, len(seen) - len(counts)))
-            counts[: len(seen)] += seen
-    found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["id", "n"])
+            counts = _ids(batch, i, 8).astype(np.int64)
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["id", "n"])
 
 
 def _blocks(freq, bases):
@@ -211,14 +212,14 @@ def write_ids(docs: DataFrame, spark: SparkSession, out: str, *, id_col: str = "
     bases, before = {}, 0
     for part, n in sorted(ids.groupBy("part").agg(F.sum("n_tokens")).collect()):
         bases[part], before = before, before + n
-    counted = ids.select("ids", "wide").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = ids.filter("rel < 0").select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max([end_id, *(r[0] for r in counted)]), np.int64)
     for i, n in counted:
         counts[i] = n
     freq = frequencies(counts)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id int, freq long").coalesce(1).write.mode("overwrite").parquet(f"{out}/table")
     sc = spark.sparkContext
-    blocks = ids.mapInArrow(_blocks(sc.broadcast(freq), sc.broadcast(bases)), "part int, start long, doc_ids array<long>, lengths array<long>, block binary")
+    blocks = ids.filter("rel >= 0").mapInArrow(_blocks(sc.broadcast(freq), sc.broadcast(bases)), "part int, start long, doc_ids array<long>, lengths array<long>, block binary")
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{out}/blocks")
     space.drop("ids")
 

@@ -8,11 +8,10 @@ import re
 import numpy as np
 
 #: Words that a memo keeps; later new words are encoded each time they appear.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 #: Letters that are \p{L} in every Unicode version.
 _LETTERS = r"[A-Za-zÀ-ÖØ-öø-ʯ]+"
-_PLAIN = re.compile(_LETTERS)
-_ENDED = re.compile(rf"({_LETTERS})([.,;:!?|*#$%&()]+)")
+_WORD = re.compile(rf"({_LETTERS})([.,;:!?|*#$%&()]*)")
 #: A space between two characters that are white space in no Unicode version.
 _CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
 _EDGES = re.compile("[\\s\u180e\u200b\ufeff]")
@@ -48,55 +47,70 @@ class TextEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), memo_words
         self.model, self.bytes = self.tokenizer.model, _byte_letters()
+        self.space = self.bytes[32]
         self.memo: dict = {}  # a piece after a space is a str, one at the start of a text a 1-tuple
+        self.ends: dict[str, list[int]] = {}  # ids of punctuation after letters, and of a line end
         self.flat, self.starts, self.lens = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = self.n = 0
+        self.new_ids: list[int] = []
+        self.new_lens: list[int] = []
 
-    def _add(self, ids) -> int:
-        k = len(ids)
+    def _add(self, ids: list[int]) -> int:
+        """The index of a new piece, whose ids wait in lists until ``_settle``."""
+        self.new_ids += ids
+        self.new_lens.append(len(ids))
+        return self.n + len(self.new_lens) - 1
+
+    def _settle(self) -> None:
+        k, n = len(self.new_ids), len(self.new_lens)
         while self.used + k > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if self.n == len(self.starts):
+        while self.n + n > len(self.starts):
             self.starts, self.lens = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.lens))
-        self.flat[self.used : self.used + k] = ids
-        self.starts[self.n], self.lens[self.n] = self.used, k
-        self.used, self.n = self.used + k, self.n + 1
-        return self.n - 1
+        self.flat[self.used : self.used + k] = self.new_ids
+        lens = np.array(self.new_lens, np.int64)
+        self.lens[self.n : self.n + n] = lens
+        self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
+        self.used, self.n, self.new_ids, self.new_lens = self.used + k, self.n + n, [], []
 
     def _direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, text: str) -> list[int]:
-        """A piece without white space but for a leading space."""
-        bare = text[1:] if text[:1] == " " else text
-        if _PLAIN.fullmatch(bare):
-            return [t.id for t in self.model.tokenize(text.encode().decode("latin1").translate(self.bytes))]
-        if m := _ENDED.fullmatch(bare):
-            return self._word(text[: len(text) - len(m[2])]) + self._known((m[2],))
-        return self._direct(text)
-
-    def _known(self, key) -> list[int]:
-        """Ids of a piece that is part of another."""
-        i = self.memo.get(key)
-        if i is None or i < 0:
-            return self._direct(key[0] if isinstance(key, tuple) else f" {key}")
-        return self.flat[self.starts[i] : self.starts[i] + self.lens[i]].tolist()
+    def _end(self, text: str) -> list[int]:
+        if (ids := self.ends.get(text)) is None:
+            ids = self._direct(text)
+            if len(self.ends) < 10_000:
+                self.ends[text] = ids
+        return ids
+
+    def _word(self, bare: str, space: bool) -> list[int]:
+        """A piece without white space, after a space or not."""
+        m = _WORD.fullmatch(bare)
+        if not m:
+            return self._direct(f" {bare}" if space else bare)
+        word, end = m.groups()
+        if end and (i := self.memo.get(word if space else (word,))) is not None and i >= 0:
+            ids = self.flat[self.starts[i] : self.starts[i] + self.lens[i]].tolist()
+        else:
+            letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
+            ids = [t.id for t in self.model.tokenize(self.space + letters if space else letters)]
+        return ids + self._end(end) if end else ids
 
     def _new(self, key) -> int:
         """The index of a new piece; -1 if it touches other white space and can't be cut out."""
-        bare = key[0] if isinstance(key, tuple) else key
-        if not bare or _EDGES.match(bare[0]) or _EDGES.match(bare[-1]):
+        space = isinstance(key, str)
+        bare = key if space else key[0]
+        if not _EDGES.search(bare):
+            return self._add(self._word(bare, space)) if bare else -1
+        if _EDGES.match(bare[0]) or _EDGES.match(bare[-1]):
             return -1
-        text = bare if isinstance(key, tuple) else f" {bare}"
         lines = bare.split("\n")
-        if len(lines) == 1:
-            return self._add(self._word(text) if not _EDGES.search(bare) else self._direct(text))
         if any(not x or _EDGES.search(x) for x in lines):
-            return self._add(self._direct(text))
+            return self._add(self._direct(f" {bare}" if space else bare))
         # Single line ends between words stand alone, and what follows has no leading space.
-        ids, end = self._word(text[: len(text) - len(bare) + len(lines[0])]), self._direct("\n")
+        ids = self._word(lines[0], space)
         for x in lines[1:]:
-            ids = [*ids, *end, *self._word(x)]
+            ids = [*ids, *self._end("\n"), *self._word(x, False)]
         return self._add(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +136,7 @@ class TextEncoder:
                     at = extra[key] = self._new(key)
                 found[i] = at
         index = np.array(found, np.int64)
+        self._settle()
         if len(index) and index.min() < 0:
             index, counts = self._uncut(texts, index, counts)
         lens = self.lens[index]
@@ -147,6 +162,7 @@ class TextEncoder:
                 own = np.array([self._add(self._direct(pieces[0])), *(self._add(self._direct(f" {p}")) for p in pieces[1:])], np.int64)
             out.append(own)
             sizes.append(len(own))
+        self._settle()
         return np.concatenate(out) if out else index, sizes
 
 
