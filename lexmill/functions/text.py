@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,9 +64,19 @@ def shorten(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else textwrap.shorten(t, width=1200, placeholder=" …"))
 
 
-@F.pandas_udf(StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """Lower case without accents, as the full-text tokenizer folds."""
-    import unicodedata
+def _without_accents() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, and those letters: a table made by rule."""
+    pairs = []
+    for point in range(0xC0, 0x2000):
+        base = [x for x in unicodedata.normalize("NFD", chr(point)) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0] != chr(point):
+            pairs.append((chr(point), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _without_accents()
+
 
-    return texts.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.combining(x)).lower())
+def fold(c: Column) -> Column:
+    """Lower case without accents, as the full-text tokenizer folds; no Python at run time."""
+    return F.lower(F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{Mn}+", ""))
