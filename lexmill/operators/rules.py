@@ -35,6 +35,7 @@ def max_coverage(sqft: Column, percent: Column) -> Column:
 
 def checklist(df: DataFrame) -> DataFrame:
     """``checklist``: categories of items for a property with its ``rule``."""
+    # Categories, tasks, descriptions and codes are fixed values.
     r = F.col("rule")
 
     def item(task: str, description: Column, code: Column, requirement: Column) -> Column:
