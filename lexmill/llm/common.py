@@ -28,9 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
-    if not found:
+    if not found:  # a single machine, as in tests
         found = tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
