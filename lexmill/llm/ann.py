@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, table
+from lexmill.llm.common import Workspace, least_hashes, table
 from lexmill.llm.topk import matrices, valid_vectors
 
 #: Rows that the lists' centres are fitted on, of which the first SEED_ROWS also bound each query's k-th distance.
@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, spark: SparkSession, *, every: int = 50, k: int
     schema = "query_id long, rank int, vec_id long, score double"
     space = Workspace(spark, "ann")
     rows = space.save(valid_vectors(vectors, id_col, vec_col).filter(F.exists("v", lambda x: x != 0)), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    sample = least_hashes(rows, ["vec_id"], sample_rows).collect()
     if not sample:
         return spark.createDataFrame([], schema)
     lengths = [len(r["v"]) for r in sample]

@@ -72,6 +72,18 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def least_hashes(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows, those with the least hashes of ``keys``: a bounded sample, the same in every run.
+
+    A count tells below which hash so many lie, so each task sends its share of
+    the sample to the driver and not ``n`` rows of its own.
+    """
+    share = min(1.0, (1.2 * n + 100) / max(1, df.count()))
+    h = F.xxhash64(*keys)
+    few = df if share == 1 else df.filter(h < F.lit(int(-(2**63) + share * 2**64)))
+    return few.orderBy(h, *keys).limit(n)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` has not got, whatever its own columns are called."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, crc_remainder, lower_words, table, text_slices
+from lexmill.llm.common import Workspace, crc_remainder, least_hashes, lower_words, table, text_slices
 
 STATES = 8
 #: Words with a row of their own in the emission table, which every task holds; rarer ones are emitted by class.
@@ -229,7 +229,7 @@ def score_texts(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id",
     head_counts = np.array([-n for n, _ in top], np.float64)
     model = Model([w for _, w in top], np.concatenate([head_counts, per_class[:, 0], [ends]]) + 1, states)
     # The pilot.
-    pilot = [r["text"] for r in training.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(PILOT_DOCS).collect()]
+    pilot = [r["text"] for r in least_hashes(training, ["doc_id"], PILOT_DOCS).collect()]
     ids, bounds, _ = model.symbols(pilot)
     if len(ids):
         pieces = np.unique(np.concatenate([bounds, np.arange(0, len(ids), PILOT_IDS)]))

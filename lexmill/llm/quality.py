@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import crc_remainder, free_name, table, text_slices
+from lexmill.llm.common import crc_remainder, free_name, least_hashes, table, text_slices
 from lexmill.llm.shingles import _BLANK, column_bytes, word_hashes
 
 #: The field is fitted on at most so many labelled documents, those with the least hashes of their ids.
@@ -197,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     several labels of an id the least counts.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_remainder(id_col, folds) != held_fold))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    known = least_hashes(known, ["_id"], sample_docs)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
     taught = rows.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "text", "label")
     found = taught.mapInArrow(_features, "label int, x binary, length binary").collect()
