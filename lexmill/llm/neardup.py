@@ -134,50 +134,79 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, salt): pairs of different components whose sketches are close, of alike set sizes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
-        edges = np.flatnonzero((np.diff(at[0]) != 0) | (np.diff(at[1]) != 0)) + 1
-        if held:
-            last = held[-1]
-            if (last.column("key")[-1].as_py(), last.column("salt")[-1].as_py()) != (at[0][0], at[1][0]):
-                yield from _block(held)
-                held = []
-        cuts = [0, *edges.tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a and held:
-                yield from _block(held)
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in text_slices([big], limit=2_000_000):
+                sets = [x.tobytes() for x in shingle_sets(batch.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "values"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Rows sorted by (leader, salt): links between components, confirmed on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lead, salt = batch.column("leader").to_numpy(), batch.column("salt").to_numpy()
+            edges = np.flatnonzero((np.diff(lead) != 0) | (np.diff(salt) != 0)) + 1
+            if held and (held[-1].column("leader")[-1].as_py(), held[-1].column("salt")[-1].as_py()) != (lead[0], salt[0]):
+                yield _links(held, percent)
                 held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from _block(held)
+            cuts = [0, *edges.tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a and held:
+                    yield _links(held, percent)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _links(held, percent)
+
+    return run
+
 
+def _links(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """A spanning set of the links between the components of one group: never more than one less than its rows.
 
-def _block(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Pairs that a link found earlier has joined need no look. Close sketches are
+    tried first.
+    """
     t = pa.Table.from_batches(parts).combine_chunks()
-    size, ids, comp, role, lead = (t.column(c).to_numpy() for c in ("n_shingles", "id", "component", "role", "leader"))
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(size), BITS // 64)
+    size, ids, comp, salt, block, blocks = (t.column(c).to_numpy() for c in ("n_shingles", "id", "component", "salt", "block", "blocks"))
+    raw, column = t.column("sketch").to_pylist(), t.column("values")
+    sketch = np.frombuffer(b"".join(raw), np.uint64).reshape(len(size), BITS // 64)
     order = np.lexsort((ids, size))
-    size, ids, comp, role, lead, sketch = (x[order] for x in (size, ids, comp, role, lead, sketch))
-    for i in np.flatnonzero(role != 1):  # probes; 2 is both
-        low = np.searchsorted(size, -(-int(size[i]) * 4 // 5))
-        # Each pair once: the probe is the one with the larger (size, id).
-        high = i if role[i] == 2 else int(np.searchsorted(size, size[i], "right"))
-        if low >= high:
-            continue
-        near = (np.bitwise_count(sketch[low:high] ^ sketch[i]).sum(1) <= MOST_BITS) & (comp[low:high] != comp[i]) & (role[low:high] != 0)
-        near &= (ids[low:high] != ids[i]) & (lead[low:high] != ids[low:high]) & (lead[i] != ids[i])
-        if role[i] == 0:
-            near &= (size[low:high] < size[i]) | (ids[low:high] < ids[i])
-        hit = low + np.flatnonzero(near)
-        if len(hit):
-            bits = np.bitwise_count(sketch[hit] ^ sketch[i]).sum(1).astype(np.int32)
-            a, b = np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], ["a", "b", "bits"])
+    names, root = np.unique(comp, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    if len(names) > 1:
+        size, ids, root, block, sketch = (x[order] for x in (size, ids, root, block, sketch))
+        sets: dict[int, np.ndarray] = {}
+
+        def values(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(column[int(order[i])].as_py(), np.uint64)
+            return sets[i]
+
+        first, second = divmod(int(salt[0]), int(blocks[0]))
+        for i in range(len(size)):
+            low = int(np.searchsorted(size, -(-int(size[i]) * percent // 100)))
+            near = (np.bitwise_count(sketch[low:i] ^ sketch[i]).sum(1) <= MOST_BITS) & (root[low:i] != root[i])
+            if first != second:  # each pair of blocks has a group of its own
+                near &= block[low:i] != block[i]
+            hit = low + np.flatnonzero(near)
+            for j in hit[np.argsort(np.bitwise_count(sketch[hit] ^ sketch[i]).sum(1), kind="stable")].tolist():
+                if root[i] == root[j]:
+                    continue
+                both = overlap(values(i), values(j))
+                if both and 100 * both >= percent * int(size[i] + size[j] - both):
+                    out.append((int(ids[i]), int(ids[j])))
+                    root[root == root[i]] = root[j]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,12 +222,12 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
     2. In each band bucket all classes meet the bucket's least id, its leader: a
        star, not all pairs. Sketches that are close enough go to confirmation
        on the full sets; confirmed links give components.
-    3. Buckets that still hold several components are searched in full, in
-       blocks: all pairs of different components are compared by sketch inside a
-       task, and only close ones leave it. The closest pair of each document and
-       component is confirmed first, then what is still apart. So no link
-       between components is lost for meeting at the wrong leader, and a group
-       of copies costs its size, not its square.
+    3. Buckets that still hold several components are searched in full, with
+       their shingle sets, in blocks of bounded size: pairs of different
+       components whose sketches are close are confirmed inside the task, which
+       returns a spanning set of the links. So no link between components is
+       lost for meeting at the wrong leader, and what leaves a group of copies
+       is as many rows as it has members at most.
 
     Null and empty texts have no shingles and are linked with nothing. A null id
     keeps a null component and is kept. Rows that repeat an id are one node, with
@@ -225,25 +254,21 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
     known = members.filter("members > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     known = space.save(known, "known")
     apart = known.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("key")
-    open_ = known.join(apart, "key", "left_semi").withColumn("salts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    single = open_.filter("salts = 1").withColumn("salt", F.lit(0)).withColumn("role", F.lit(2))
-    probes = open_.filter("salts > 1").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("role", F.lit(0))
-    builds = open_.filter("salts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("role", F.lit(1))
-    blocks = single.unionByName(probes).unionByName(builds).join(traits, "id")
+    # Buckets of one leader meet as one group: bands of one family of texts mostly share it.
+    group = space.save(known.join(apart, "key", "left_semi").select("leader", "id", "component").distinct(), "groups")
+    sizes = group.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = group.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    low, high = F.least("block", "_other"), F.greatest("block", "_other")
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("salt", low * F.col("blocks") + high)
+    ids = space.save(group.select("id").distinct(), "contested")
+    few = ids.count() <= BROADCAST_IDS
+    sets = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["id"], "left_semi").mapInArrow(_sets(k), "doc_id long, values binary")
+    placed = placed.join(traits, "id").join(sets, F.col("id") == F.col("doc_id"))
+    # A repeated id may have texts of other sizes than the class it stands for.
+    placed = placed.filter(F.octet_length("values") == F.col("n_shingles") * 8)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.select("key", "salt", "id", "component", "role", "leader", "n_shingles", "sketch").repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")
-    found = blocks.mapInArrow(_meet, "a long, b long, bits int").groupBy("a", "b").agg(F.min("bits").alias("bits"))
-    found = space.save(found, "found")
-    if found.isEmpty():
-        all_links = links
-    else:
-        labelled = _labelled(found, label)
-        best = labelled.groupBy("b", "ca").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b").distinct()
-        second = confirmed(best, rows, k, percent, space, "second")
-        label = components(links.union(second), space, "second-label")
-        rest = _labelled(found.join(best, ["a", "b"], "left_anti"), label).filter("ca <> cb").select("a", "b")
-        third = confirmed(rest, rows, k, percent, space, "third")
-        all_links = links.union(second).union(third)
+    placed = placed.select("leader", "salt", "id", "component", "block", "blocks", "n_shingles", "sketch", "values").repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt")
+    all_links = links.union(placed.mapInArrow(_meet(percent), "a long, b long"))
     label = components(all_links.union(copies), space, "final")
     out = sig.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
@@ -257,13 +282,6 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
 
 
-def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    for c in "ab":
-        own = label.select(F.col("id").alias(f"i{c}"), F.col("component").alias(f"c{c}"))
-        pairs = pairs.join(own, F.col(c) == F.col(f"i{c}"), "left").drop(f"i{c}").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    return pairs
-
-
 def drop_near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the least id stays, in one row of the least text."""
     flags = near_duplicates(docs, spark, k=k, percent=percent, id_col=id_col, text_col=text_col)
