@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import table, text_slices
-from lexmill.llm.tokens import encoder, tokenizer_path
+from lexmill.llm.tokens import MEMO_WORDS, encoder, tokenizer_path
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 16_384
@@ -114,12 +114,12 @@ class Packer:
             self._close(size, pieces)
 
 
-def _pack(path: str, end_id: int, tiers, step_tokens: int, with_ids: bool):
+def _pack(path: str, end_id: int, tiers, step_tokens: int, with_ids: bool, memo_words: int, slice_bytes: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * with_ids
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, base = encoder(path), TaskContext.get().partitionId() << 40
+        coder, base = encoder(path, memo_words), TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
         def emit(doc, start, n, at, sequence, offset, tier, group):
@@ -133,7 +133,7 @@ def _pack(path: str, end_id: int, tiers, step_tokens: int, with_ids: bool):
             return out
 
         packer = Packer(emit, tiers, step_tokens)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=slice_bytes):
             ids, lens = coder.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(lens), end_id).astype("<u4")
             lens, at = (lens + 1).tolist(), 0
@@ -155,7 +155,7 @@ def _pack(path: str, end_id: int, tiers, step_tokens: int, with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, tiers=TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, tiers=TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, memo_words: int = MEMO_WORDS, slice_bytes: int = 4_000_000) -> DataFrame:
     """One row per piece: its document, place there, checksum, sequence, place there, tier and step group.
 
     Every id of every document, ``end_id`` after each, lies in exactly one piece.
@@ -167,10 +167,13 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null and empty texts are ``end_id`` alone. Null ids stay null. Each row is a
     document, also one that repeats an id. An empty table gives no pieces. Extra
     columns are ignored. A text longer than a window spans many.
+
+    ``memo_words`` and ``slice_bytes`` bound a worker's memory, at some cost in
+    time; the result does not depend on them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, tuple(tiers), step_tokens, with_ids), schema)
+    return rows.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, tuple(tiers), step_tokens, with_ids, memo_words, slice_bytes), schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,27 +83,30 @@ class TextEncoder:
                 self.ends[text] = ids
         return ids
 
-    def _word(self, bare: str, space: bool) -> list[int]:
-        """A piece without white space, after a space or not."""
-        m = _WORD.fullmatch(bare)
-        if not m:
-            return self._direct(f" {bare}" if space else bare)
+    def _parts(self, m: re.Match, space: bool) -> list[int]:
+        """Letters and the punctuation after them; the letters alone are often known."""
         word, end = m.groups()
         if end and (i := self.memo.get(word if space else (word,))) is not None and i >= 0:
-            ids = self.flat[self.starts[i] : self.starts[i] + self.lens[i]].tolist()
-        else:
-            letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
-            ids = [t.id for t in self.model.tokenize(self.space + letters if space else letters)]
+            return self.flat[self.starts[i] : self.starts[i] + self.lens[i]].tolist() + self._end(end)
+        letters = word if word.isascii() else word.encode().decode("latin1").translate(self.bytes)
+        ids = [t.id for t in self.model.tokenize(self.space + letters if space else letters)]
         return ids + self._end(end) if end else ids
 
+    def _word(self, bare: str, space: bool) -> list[int]:
+        """A piece without white space, after a space or not."""
+        m = _WORD.fullmatch(bare)
+        return self._parts(m, space) if m else self._direct(f" {bare}" if space else bare)
+
     def _new(self, key) -> int:
         """The index of a new piece; -1 if it touches other white space and can't be cut out."""
-        space = isinstance(key, str)
+        space = key.__class__ is str
         bare = key if space else key[0]
-        if not _EDGES.search(bare):
-            return self._add(self._word(bare, space)) if bare else -1
-        if _EDGES.match(bare[0]) or _EDGES.match(bare[-1]):
+        if m := _WORD.fullmatch(bare):
+            return self._add(self._parts(m, space))
+        if not bare or _EDGES.match(bare[0]) or _EDGES.match(bare[-1]):
             return -1
+        if not _EDGES.search(bare):
+            return self._add(self._direct(f" {bare}" if space else bare))
         lines = bare.split("\n")
         if any(not x or _EDGES.search(x) for x in lines):
             return self._add(self._direct(f" {bare}" if space else bare))
@@ -166,11 +169,12 @@ class TextEncoder:
         return np.concatenate(out) if out else index, sizes
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> TextEncoder:
     """This worker process's encoder; Spark reuses Python workers, so the memo outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    key = path, memo_words
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(path, memo_words)
+    return _ENCODERS[key]
