@@ -35,8 +35,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full sequences."""
-    return pack_documents(docs)
+    """The pieces of full sequences.
+
+    Executors share their memory with what earlier stages have left in the heap
+    and in Python workers, so batches, slices and the tokenizer's memo are small.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    return pack_documents(docs, memo_words=100_000, slice_bytes=1_000_000)
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("mixing", mixture), ("packing", packed)]
