@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words that a memo keeps; later new words are encoded each time they appear.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_200_000
 #: Letters that are \p{L} in every Unicode version.
 _LETTERS = r"[A-Za-zÀ-ÖØ-öø-ʯ]+"
 _WORD = re.compile(rf"({_LETTERS})([.,;:!?|*#$%&()]*)")
