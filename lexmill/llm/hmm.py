@@ -12,17 +12,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, crc_remainder, least_hashes, lower_words, table, text_slices
+from lexmill.llm.common import Workspace, crc_remainder, lower_words, table, text_slices
 
 STATES = 8
 #: Words with a row of their own in the emission table, which every task holds; rarer ones are emitted by class.
 HEAD_WORDS = 131_072
 CLASSES = 81
-#: The pilot that breaks the states' symmetry before the passes over the corpus: documents, ids of each segment, rounds.
-PILOT_DOCS, PILOT_IDS, PILOT_ROUNDS = 1000, 256, 12
-PASSES = 1  # Baum-Welch passes over all training documents
+#: Baum-Welch passes over all training documents: until one gains less than this share of the log likelihood, and at most so many.
+SETTLED, PASSES = 1e-3, 12
 PRIOR = 200.0  # weight of the corpus distribution in every state's emissions
 FLUSH = 400_000  # distinct words that a counting task holds
+SLICE = 600_000  # symbols of the texts that advance together
 
 _HIGH = re.compile(rb"[\x80-\xff]{2}")
 
@@ -150,14 +150,39 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([word_class(w) for w in batch.column("word").to_pylist()], pa.int32()), batch.column("n")], ["cls", "n"])
 
 
-def _learn(shared):
+def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        counts = model.zeros()
+        row = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches):
-            ids, bounds, _ = model.symbols(batch.column("text").to_pylist())
-            forward_backward(ids, bounds, model.start, model.trans, model.emit, counts)
-        rows = np.concatenate([counts[0][None], counts[1], counts[2]])
+            ids, bounds, tails = model.symbols(batch.column("text").to_pylist())
+            body = ids.astype("<i4")
+            tail = [[{"w": w, "n": n, "cls": word_class(w)} for w, n in Counter(t).items()] for t in tails]
+            n = batch.num_rows
+            kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32()), ("cls", pa.int32())]))
+            symbols = pa.array([body[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id"), symbols, pa.array(tail, kind)], ["row", "doc_id", "ids", "tail"])
+            row += n
+
+    return run
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with their symbols and bounds; every row has a symbol, as a text has its end."""
+    for batch in text_slices(batches, "ids", 4 * SLICE):
+        bodies = batch.column("ids").to_pylist()
+        yield batch, np.frombuffer(b"".join(bodies), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in bodies])]).astype(np.int64)
+
+
+def _learn(shared):
+    """Expected counts by row of (start, trans, emit), and the log likelihood as one row more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, trans, emit = shared.value
+        counts, like = (np.zeros_like(start), np.zeros_like(trans), np.zeros_like(emit)), 0.0
+        for _, ids, bounds in _decoded(batches):
+            like += forward_backward(ids, bounds, start, trans, emit, counts).sum()
+        rows = np.concatenate([counts[0][None], counts[1], counts[2], np.full((1, len(start)), like)])
         found = np.flatnonzero(rows.any(1))
         names = ["symbol", *(f"c{k}" for k in range(rows.shape[1]))]
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(rows[found, k].astype(np.float32)) for k in range(rows.shape[1]))], names)
@@ -167,17 +192,11 @@ def _learn(shared):
 
 def _score(shared, logs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (base, known) = shared.value, logs.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in text_slices(batches):
-            ids, bounds, tails = model.symbols(batch.column("text").to_pylist())
-            score = forward_backward(ids, bounds, model.start, model.trans, model.emit)
-            sums, counts = (np.add.reduceat(x[ids], bounds[:-1]) for x in (base, known))  # every text has its end
-            tail = [[{"w": w, "n": n, "cls": word_class(w)} for w, n in Counter(t).items()] for t in tails]
-            n = batch.num_rows
-            kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32()), ("cls", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(counts.astype(np.int64)), pa.array(sums), pa.array(score), pa.array(tail, kind)], ["row", "doc_id", "n_tokens", "n_head", "base", "hmm", "tail"])
-            row += n
+        (start, trans, emit), (base, known) = shared.value, logs.value
+        for batch, ids, bounds in _decoded(batches):
+            score = forward_backward(ids, bounds, start, trans, emit)
+            sums, counts = (np.add.reduceat(x[ids], bounds[:-1]) for x in (base, known))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(counts.astype(np.int64)), pa.array(sums), pa.array(score)], ["row", "doc_id", "n_tokens", "n_head", "base", "hmm"])
 
     return run
 
@@ -197,9 +216,10 @@ def score_texts(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id",
     recursion's over symbols times its rare words' shares; those need exact
     counts, which a join brings, so no task holds the vocabulary.
 
-    A pilot on a few segments breaks the symmetry of the states. Then every pass
-    over the training documents runs forward-backward on whole texts, and the
-    expected counts of all tasks are summed by symbol.
+    Seeded noise breaks the symmetry of the states. Texts are encoded once; every
+    pass over the training documents runs forward-backward on whole texts, and
+    the expected counts of all tasks are summed by symbol. There are passes until
+    the log likelihood settles (SETTLED), ``passes`` at most, at any size.
 
     Null and empty texts are the end alone. A null id counts as the empty text
     where folds are dealt. Each row is a document, also one that repeats an id.
@@ -228,28 +248,31 @@ def score_texts(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id",
         per_class[r["cls"]] = r["n"], r["v"]
     head_counts = np.array([-n for n, _ in top], np.float64)
     model = Model([w for _, w in top], np.concatenate([head_counts, per_class[:, 0], [ends]]) + 1, states)
-    # The pilot.
-    pilot = [r["text"] for r in least_hashes(training, ["doc_id"], PILOT_DOCS).collect()]
-    ids, bounds, _ = model.symbols(pilot)
-    if len(ids):
-        pieces = np.unique(np.concatenate([bounds, np.arange(0, len(ids), PILOT_IDS)]))
-        for _ in range(PILOT_ROUNDS):
-            sums = model.zeros()
-            forward_backward(ids, pieces, model.start, model.trans, model.emit, sums)
-            model.update(*sums)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    encoded = rows.mapInArrow(_encode(sc.broadcast(model)), f"row long, doc_id {kind}, ids binary, tail array<struct<w:binary,n:int,cls:int>>")
+    encoded = space.save(encoded, "encoded")
+    # Each task sends as many rows as there are symbols, so there are no more tasks than keep the cores busy.
+    texts = encoded.filter(~held).select("ids").coalesce(2 * sc.defaultParallelism)
+    names, last = [f"c{k}" for k in range(states)], -np.inf
     for _ in range(passes):
-        names = [f"c{k}" for k in range(states)]
-        learnt = training.select("text").mapInArrow(_learn(sc.broadcast(model)), "symbol int, " + ", ".join(f"{c} float" for c in names))
-        summed = np.zeros((1 + states + len(model.emit), states))
-        for r in learnt.groupBy("symbol").agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in names)).collect():
-            summed[r["symbol"]] = r[1:]
-        model.update(summed[0], summed[1 : 1 + states], summed[1 + states :])
+        shared = sc.broadcast((model.start, model.trans, model.emit))
+        learnt = texts.mapInArrow(_learn(shared), "symbol int, " + ", ".join(f"{c} float" for c in names))
+        found = learnt.groupBy("symbol").agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in names)).toArrow()
+        summed = np.zeros((2 + states + len(model.emit), states))
+        summed[found.column("symbol").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in names])
+        model.update(summed[0], summed[1 : 1 + states], summed[1 + states : -1])
+        shared.unpersist()
+        like = summed[-1, 0]
+        if like - last <= SETTLED * abs(like):
+            break
+        last = like
     unit = tokens + distinct + 1
     base = np.concatenate([np.log10((head_counts + 1) / unit), np.zeros(CLASSES), [np.log10((ends + 1) / unit)]])
     known = np.concatenate([np.ones(len(top)), np.zeros(CLASSES), [float(ends > 0)]])
-    scored = rows.mapInArrow(_score(sc.broadcast(model), sc.broadcast((base, known))), f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_head long, base double, hmm double, tail array<struct<w:binary,n:int,cls:int>>")
+    shared = sc.broadcast((model.start, model.trans, model.emit))
+    scored = encoded.select("row", "doc_id", "ids").mapInArrow(_score(shared, sc.broadcast((base, known))), f"row long, doc_id {kind}, n_tokens long, n_head long, base double, hmm double")
     scored = space.save(scored, "scored")
-    rare = scored.select("row", F.inline("tail"))
+    rare = encoded.select("row", F.inline("tail"))
     rare = rare.join(tail.select(F.col("word").alias("w"), F.col("n").alias("c")), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     share = F.element_at(F.array(*(F.lit(float(n + v + 1)) for n, v in per_class.tolist())), F.col("cls") + 1)
     rare = rare.groupBy("row").agg(
@@ -259,7 +282,7 @@ def score_texts(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id",
     )
     zero = F.lit(0.0)
     return (
-        scored.drop("tail")
+        scored
         .join(rare, "row", "left")
         .select(
             "doc_id",

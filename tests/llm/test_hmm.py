@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from lexmill.llm.common import crc_remainder, least_hashes
 from lexmill.llm.hmm import forward_backward, score_texts
 
 
@@ -68,3 +69,13 @@ def test_beats_the_base_on_held_out_documents(spark):
     base, own = (-sum(x) / n for x in zip(*((r.base_score, r.score) for r in held), strict=True))
     print("bits a token", base * math.log2(10), own * math.log2(10))
     assert own < base - 0.1
+
+
+def test_words_of_all_documents_get_states(spark):
+    """Words that only documents outside the 1,000 least hashes of ids have are told apart by state."""
+    first = {r.doc_id for r in least_hashes(spark.range(3000).toDF("doc_id").filter(~(crc_remainder("doc_id", 7) == 2)), ["doc_id"], 1000).collect()}
+    rng = np.random.default_rng(3)
+    rows = [(i, "one " * 12 if i in first else " ".join(f"{'ab'[i % 2]}{w}" for w in rng.integers(100, size=40))) for i in range(3000)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark).filter("held_out").collect()
+    n = sum(r.n_tokens for r in got)
+    assert (sum(r.score for r in got) - sum(r.base_score for r in got)) / n * math.log2(10) > 0.8  # a document's words are all of one kind, which is worth a bit each
