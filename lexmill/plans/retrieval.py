@@ -196,11 +196,22 @@ def type_filter(spark, d):
 TYPE_FILTER = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 AND c_mktsegment IN ('BUILDING', 'MACHINERY')"
 
 
-def evidence_prompt(spark, d):
-    rows = read(spark, d, "benchmark").filter("item_id < 30").select(F.concat(F.lit("part "), (F.col("item_id") % 3).cast("string")).alias("label"), F.col("item_id").alias("rank"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("SMC "), "item_id")).alias("full_citation"), F.concat(F.lit("c"), "item_id").alias("chunk_id"), F.lit(None).cast("string").alias("section_heading"), F.substring("text", 1, 300).alias("text"))
+def _evidence(items, text):
+    rows = items.select(F.concat(F.lit("part "), (F.col("item_id") % 3).cast("string")).alias("label"), F.col("item_id").alias("rank"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("SMC "), "item_id")).alias("full_citation"), F.concat(F.lit("c"), "item_id").alias("chunk_id"), F.lit(None).cast("string").alias("section_heading"), text.alias("text"))
     return compose.evidence_blocks(rows).select("label", F.length("block").alias("n"), F.md5("block").alias("digest"))
 
 
+def evidence_prompt(spark, d):
+    """The rows and text prefixes that its SQL covers; ``evidence_prompt_all`` is the whole job."""
+    return _evidence(read(spark, d, "benchmark").filter("item_id < 30"), F.substring("text", 1, 300))
+
+
+def evidence_prompt_all(spark, d):
+    """All items with whole texts, which are shortened at words beyond SQL's means."""
+    return _evidence(read(spark, d, "benchmark"), F.col("text"))
+
+
+
 EVIDENCE_PROMPT = r"""
 WITH b AS (SELECT 'part ' || item_id % 3 AS label, item_id, '[' || CASE WHEN item_id % 2 = 0 THEN 'SMC ' || item_id ELSE 'c' || item_id END || '] ' || chr(10) || trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) AS p FROM benchmark WHERE item_id < 30),
 t AS (SELECT label, upper(label) || ':' || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY item_id) AS block FROM b GROUP BY label)
@@ -210,3 +221,5 @@ SELECT label, length(block)::INTEGER AS n, md5(block) AS digest FROM t
 _ALL = (fts_index, doc_stats, bm25_topk, bm25_filtered, bm25_gated, fts_boolean, fts_phrase, fts_prefix, fts_near, vector_topk, vector_filtered_topk, evidence_fanout, hybrid_gate, l2_normalise, mean_pool, citation_prefix, type_filter, evidence_prompt)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
+#: Queries over whole tables that have no SQL; tests hold them against plain Python.
+WHOLE = {f.__name__: f for f in (evidence_prompt_all,)}
