@@ -37,16 +37,25 @@ def _parcels(spark, d):
     )
 
 
-def _requests(spark, d):
-    c, n = read(spark, d, "customer").filter("c_custkey % 25 = 1"), (F.col("c_custkey") % 60).cast("string")
+def _requests(spark, d, which="c_custkey % 25 = 1"):
+    """Requests of the customers that the SQL covers, or of ``which``."""
+    c, n = read(spark, d, "customer").filter(which), (F.col("c_custkey") % 60).cast("string")
     form = F.floor(F.col("c_custkey") % 100 / 25)
     text = F.when(form == 0, F.concat(F.lit(" "), n, F.lit("  "), F.lower("c_mktsegment"), F.lit(" Street, Seattle WA 98101"))).when(form == 1, F.concat("c_mktsegment", F.lit(" avenue")))
     text = text.when(form == 2, F.concat(n, F.lit(" "), F.substring("c_mktsegment", 1, 4), F.lit(" road"))).otherwise(F.concat(n, F.lit(" Nowhere Boulevard")))
     return matching.requests_of(c.withColumn("asked_", text), "c_custkey", "asked_")
 
 
+def _norms(requests):
+    return requests.select("request", "norm", "number", "street", F.array_join("required", "|").alias("tokens"))
+
+
 def address_norm(spark, d):
-    return _requests(spark, d).select("request", "norm", "number", "street", F.array_join("required", "|").alias("tokens"))
+    return _norms(_requests(spark, d))
+
+
+def address_norm_all(spark, d):
+    return _norms(_requests(spark, d, "true"))
 
 
 ADDRESS_NORM = "WITH " + _PARCEL_SQL + "SELECT request, norm, number, street, array_to_string(list_filter(list_transform(string_split(street, ' '), lambda t: regexp_replace(upper(t), '[^A-Z0-9]', '', 'g')), lambda t: t <> ''), '|') AS tokens FROM req"
@@ -69,6 +78,10 @@ def cascade_lookup(spark, d):
     return matching.lookup(_requests(spark, d), _parcels(spark, d)).select("request", "attempt", "PIN")
 
 
+def cascade_lookup_all(spark, d):
+    return matching.lookup(_requests(spark, d, "true"), _parcels(spark, d)).select("request", "attempt", "PIN")
+
+
 CASCADE_LOOKUP = "WITH " + _FOUND + " SELECT request, attempt, PIN FROM found"
 
 _SCORED = (
@@ -84,17 +97,32 @@ sc AS (SELECT *, CASE WHEN nf = norm THEN 120 WHEN starts_with(nf, norm) THEN 80
 )
 
 
-def match_score(spark, d):
-    scored = matching.score(matching.lookup(_requests(spark, d), _parcels(spark, d)))
+def _scores(requests, parcels):
+    scored = matching.score(matching.lookup(requests, parcels))
     return scored.select("request", "PIN", F.col("score").cast("long").alias("score"), "street_all")
 
 
+def match_score(spark, d):
+    return _scores(_requests(spark, d), _parcels(spark, d))
+
+
+def match_score_all(spark, d):
+    return _scores(_requests(spark, d, "true"), _parcels(spark, d))
+
+
 MATCH_SCORE = "WITH " + _SCORED + " SELECT request, PIN, score::BIGINT AS score, street_all FROM sc"
 
 
+def _picks(asked, parcels):
+    return matching.pick(matching.score(matching.lookup(asked, parcels)), asked).select("request", "PIN", "match_status")
+
+
 def match_pick(spark, d):
-    asked = _requests(spark, d)
-    return matching.pick(matching.score(matching.lookup(asked, _parcels(spark, d))), asked).select("request", "PIN", "match_status")
+    return _picks(_requests(spark, d), _parcels(spark, d))
+
+
+def match_pick_all(spark, d):
+    return _picks(_requests(spark, d, "true"), _parcels(spark, d))
 
 
 MATCH_PICK = (
@@ -186,3 +214,5 @@ TO_NUMBER = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0
 _ALL = (address_norm, cascade_lookup, match_score, match_pick, property_record, rule_checklist, text_flags, falsy_or, to_number)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
+#: Queries over whole tables that have no SQL; tests hold them against plain Python.
+WHOLE = {f.__name__: f for f in (address_norm_all, cascade_lookup_all, match_score_all, match_pick_all)}
