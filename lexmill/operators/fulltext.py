@@ -268,8 +268,9 @@ def search(spark: SparkSession, chunks: DataFrame, index: Index, query: str, col
     return rows.join(found, rows[ord_col] == found["_ord"]).drop("_ord").orderBy("rank", ord_col).limit(limit)
 
 
-def candidates(chunks: DataFrame, index: Index, query: str, columns: list[str], *, ord_col: str = "ord", where: Column | None = None, limit: int = 200) -> DataFrame:
-    """``ord`` of the first ``limit`` matching rows in row order: the gate of hybrid retrieval."""
+def candidates(chunks: DataFrame, index: Index, query: str, columns: list[str], *, ord_col: str = "ord", where: Column | None = None, limit: int | None = 200) -> DataFrame:
+    """``ord`` of the first ``limit`` matching rows in row order: the gate of hybrid retrieval; of all in any order where it is None."""
     found = match(index, parse(query, columns)).select(F.col("ord").alias("_ord"))
     rows = chunks if where is None else chunks.filter(where)
-    return rows.join(found, rows[ord_col] == found["_ord"], "left_semi").select(ord_col).orderBy(ord_col).limit(limit)
+    hits = rows.join(found, rows[ord_col] == found["_ord"], "left_semi").select(ord_col)
+    return hits if limit is None else hits.orderBy(ord_col).limit(limit)

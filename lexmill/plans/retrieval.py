@@ -81,9 +81,18 @@ def bm25_gated(spark, d):
 BM25_GATED = _ranked_sql([_term("this"), _term("with"), _term("from")], "COALESCE(s0.s, 0) + CASE WHEN s1.s IS NOT NULL AND s2.s IS NOT NULL THEN s1.s + s2.s ELSE 0 END", "s0.s IS NOT NULL OR (s1.s IS NOT NULL AND s2.s IS NOT NULL)", 50)
 
 
-def fts_boolean(spark, d):
+def _hits(spark, d, query, limit):
     docs, index = _index(spark, d)
-    return fulltext.candidates(docs, index, "(with OR for) NOT from", ["text"]).select(F.col("ord").alias("doc_id"))
+    return fulltext.candidates(docs, index, query, ["text"], limit=limit).select(F.col("ord").alias("doc_id"))
+
+
+def fts_boolean(spark, d):
+    """The first 200 matches, as its SQL has them; ``fts_boolean_all`` has all."""
+    return _hits(spark, d, "(with OR for) NOT from", 200)
+
+
+def fts_boolean_all(spark, d):
+    return _hits(spark, d, "(with OR for) NOT from", None)
 
 
 FTS_BOOLEAN = "WITH " + _TOKENS + "SELECT doc_id FROM documents WHERE doc_id IN (SELECT ord FROM tok WHERE term IN ('with', 'for')) AND doc_id NOT IN (SELECT ord FROM tok WHERE term = 'from') ORDER BY doc_id LIMIT 200"
@@ -104,8 +113,12 @@ FTS_PREFIX = _ranked_sql(["SELECT ord, COUNT(*) AS tf FROM tok WHERE starts_with
 
 
 def fts_near(spark, d):
-    docs, index = _index(spark, d)
-    return fulltext.candidates(docs, index, "NEAR(with from, 3)", ["text"]).select(F.col("ord").alias("doc_id"))
+    """The first 200 matches, as its SQL has them; ``fts_near_all`` has all."""
+    return _hits(spark, d, "NEAR(with from, 3)", 200)
+
+
+def fts_near_all(spark, d):
+    return _hits(spark, d, "NEAR(with from, 3)", None)
 
 
 FTS_NEAR = "WITH " + _TOKENS + "SELECT DISTINCT a.ord AS doc_id FROM tok a JOIN tok b ON a.ord = b.ord AND abs(a.pos - b.pos) - 1 <= 3 WHERE a.term = 'with' AND b.term = 'from' ORDER BY doc_id LIMIT 200"
@@ -222,4 +235,4 @@ _ALL = (fts_index, doc_stats, bm25_topk, bm25_filtered, bm25_gated, fts_boolean,
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
 #: Queries over whole tables that have no SQL; tests hold them against plain Python.
-WHOLE = {f.__name__: f for f in (evidence_prompt_all,)}
+WHOLE = {f.__name__: f for f in (fts_boolean_all, fts_near_all, evidence_prompt_all)}

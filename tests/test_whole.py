@@ -98,3 +98,11 @@ def test_checklist_of_all_categories(spark):
     want += [(p, 2, 0, "Tree Protection (SMC 25.11)", "Complete tree inventory", "SMC 25.11.050", f"Property shows {10 + xxh64(str(p).encode()) % 30}% canopy. Inventory required.") for p in pins]
     want += [(p, 3, 0, "Required Permits", "Building Permit", "SMC 22.801", "Submit at the city's permit portal") for p in pins]
     assert got == sorted(want) and len(got) == 5 * len(pins)
+
+
+def test_all_matches_of_boolean_and_near(spark, tmp_path):
+    kinds = ("he came with it", "for one", "with no word from me", "from a b c with", "from a b c d with", "none")
+    rows = [(i, kinds[i % 6], "en", "s") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in run(spark, "fts_boolean_all", tmp_path)) == [i for i in range(1500) if i % 6 in (0, 1)]
+    assert sorted(r.doc_id for r in run(spark, "fts_near_all", tmp_path)) == [i for i in range(1500) if i % 6 in (2, 3)]
