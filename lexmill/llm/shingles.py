@@ -12,6 +12,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)[_LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose words are hashed by one running sum.
+STRETCH = 65_536
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _PLACES = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,24 +39,48 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, bounds - bounds[0]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((int(_STEP), pow(int(_STEP), -1, 2**64))):
+            full = np.full(n, base, np.uint64)
+            full[0] = 1
+            _POWERS[i] = np.cumprod(full)
+    return _POWERS[0], _POWERS[1]
+
+
+def word_places(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all rows start and end."""
+    inside = ~_BLANK[body]
+    edge = np.zeros(len(body) + 1, bool)  # no word goes on over a row's start
+    edge[bounds] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def place_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for every word, lower-cased in A-Z, from running sums over a stretch of words at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + STRETCH)))
+        a, b = int(starts[i]), int(ends[j - 1])
+        up, down = powers(max(STRETCH * 2, b - a))
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[body[a:b]] * up[: b - a], out=sums[1:])
+        s = starts[i:j] - a
+        out[i:j] = (sums[ends[i:j] - a] - sums[s]) * down[s]
+        i = j
+    return mix(out)
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for every word of the column, lower-cased in A-Z, and the bounds of each row's words."""
     body, bounds = column_bytes(column)
-    inside = ~_BLANK[body]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    opens = bounds[:-1][bounds[:-1] < bounds[1:]]
-    first[opens] = inside[opens]
-    at = np.flatnonzero(first)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    chars = np.flatnonzero(inside)
-    word = np.cumsum(first)[chars] - 1
-    place = chars - at[word]
-    powers = np.cumprod(np.full(int(place.max()) + 1, _STEP, np.uint64))
-    begins = np.searchsorted(chars, at)
-    hashes = np.add.reduceat(_BYTE[body[chars]] * powers[place], begins)
-    return mix(hashes), np.searchsorted(at, bounds)
+    starts, ends = word_places(body, bounds)
+    return place_hashes(body, starts, ends), np.searchsorted(starts, bounds)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +99,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         ends = np.cumsum(sizes)
-        own = [mix(np.array([(words[bounds[i] : bounds[i + 1]] * _PLACES[: counts[i]]).sum() + np.uint64(counts[i]) * _STEP], np.uint64))[0] for i in short]
-        out = np.insert(out, ends[short], np.array(own, np.uint64))
+        place = np.arange(int(counts[short].sum())) - np.repeat(np.cumsum(counts[short]) - counts[short], counts[short])
+        own = words[np.repeat(bounds[short], counts[short]) + place] * _PLACES[place]
+        own = mix(np.add.reduceat(own, np.flatnonzero(place == 0)) + counts[short].astype(np.uint64) * _STEP)
+        out = np.insert(out, ends[short], own)
         sizes[short] = 1
     return out, np.concatenate([[0], np.cumsum(sizes)])
 
