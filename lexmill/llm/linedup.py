@@ -63,21 +63,31 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         lambda a, p: F.struct(p.alias("last"), F.when(p == a["last"] + 1, a["n"]).otherwise(a["n"] + 1).alias("n")),
         lambda a: a["n"].cast("long"),
     )
-    numbers = {"n_lines": F.coalesce(F.size(F.when(text.isNotNull(), F.col(lines))), F.lit(0)), "n_removed": F.size(gone)}
-    numbers["n_lines"] = F.when(text.isNull(), 0).otherwise(F.size(lines))
-    names = {n: free_name(docs, n) for n in ("n_lines", "n_removed", "n_spans")}
-    # Positions become a map's keys: a look-up per line, not a scan of all covered ones.
-    lost = F.map_from_arrays(F.col(gone), F.col(gone))
-    kept = F.array_join(F.filter(F.col(lines), lambda _, i: ~F.map_contains_key(lost, i)), "\n")
+    names = [free_name(docs, n) for n in ("n_lines", "n_removed", "n_spans")]
+    # The other positions by a hash set, then one look by position a line: linear in the lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
     kept_old = F.when(F.size(gone) == 0, text).otherwise(kept)
     return out.select(
         *[kept_old.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        numbers["n_lines"].cast("long").alias(names["n_lines"]),
-        numbers["n_removed"].cast("long").alias(names["n_removed"]),
-        spans.alias(names["n_spans"]),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names[0]),
+        F.size(gone).cast("long").alias(names[1]),
+        spans.alias(names[2]),
     )
 
 
+def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", width: int = 3) -> DataFrame:
+    """The rows of ``docs`` in their own columns without the lines that ``dedup_lines`` removes.
+
+    Rows that lose every line go; a null or empty text stays. ``chars_col``,
+    where there is one, follows the text.
+    """
+    out = dedup_lines(docs, id_col=id_col, text_col=text_col, width=width)
+    n_lines, n_removed, _ = (F.col(c) for c in out.columns[len(docs.columns) :])
+    out = out.filter((n_removed < n_lines) | (n_lines == 0))
+    return out.select(*[F.length(text_col).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in docs.columns])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)

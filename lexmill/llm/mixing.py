@@ -81,13 +81,13 @@ def mix(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_co
     slices = slices.join(targets.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     # Which slices are taken whole, not at all, or cut by the limit.
     slices = slices.withColumn("_state", F.when(F.col("_before") + F.col("_words") <= F.col("_rest"), 1).when(F.col("_before") > F.col("_rest"), 0).otherwise(2))
-    slices = slices.select("_s", "_k", F.struct(F.col("_size").alias("size"), "target", F.col("_whole").alias("whole"), F.col("_rest").alias("rest"), F.col("_before").alias("before"), F.col("_state").alias("state")).alias(free_name(docs, "mix_")))
-    slices = space.save(slices, "slices")
-    at = F.col(slices.columns[2])
+    facts = F.struct(F.col("_size").alias("size"), "target", F.col("_whole").alias("whole"), F.col("_rest").alias("rest"), F.col("_before").alias("before"), F.col("_state").alias("state"))
+    own, number, fact, more = (free_name(docs, n) for n in ("source_", "number_", "mix_", "more_"))
+    slices = space.save(slices.select(F.col("_s").alias(own), F.col("_k").alias(number), facts.alias(fact)), "slices")
     small = F.broadcast(slices) if slices.count() <= BROADCAST_ROWS else slices
-    joined = keyed.join(small, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col(part) == F.col("_k"))).drop("_s", "_k")
+    joined = keyed.join(small, F.col(source_col).eqNullSafe(F.col(own)) & (F.col(part) == F.col(number)))
     inside = Window.partitionBy(source_col, part).orderBy(order, id_col, size).rowsBetween(Window.unboundedPreceding, 0)
-    more = free_name(docs, "more_")
+    at = F.col(fact)
     cut = joined.filter(at["state"] == 2).withColumn(more, (at["before"] + F.sum(size).over(inside) - F.col(size) / 2 <= at["rest"]).cast("long"))
     even = joined.filter(at["state"] != 2).withColumn(more, at["state"].cast("long"))
     return even.unionByName(cut).select(

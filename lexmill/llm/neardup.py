@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, free_name, table, text_slices
+from lexmill.llm.common import Workspace, free_name, lean, table, text_slices
 from lexmill.llm.shingles import mix, overlap, shingle_hashes, shingle_sets, word_hashes
 
 BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 4e-8
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
     """
     space = Workspace(spark, "neardup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = space.save(rows.mapInArrow(_sign(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
+    sig = space.save(rows.mapInArrow(lean(_sign(k)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
     sets = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = space.save(sets.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
     rep = classes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "id")
@@ -285,12 +285,15 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the least id stays, in one row of the least text."""
     flags = near_duplicates(docs, spark, k=k, percent=percent, id_col=id_col, text_col=text_col)
-    gone, seen = free_name(docs, "gone_"), free_name(docs, "seen_")
-    flags = Workspace(spark, "flags").save(flags.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(gone)).agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias(seen)).filter(f"NOT _kept OR {seen} > 1"), "flags")
+    gone = free_name(docs, "gone_")
+    flags = flags.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(gone)).agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_seen")).filter("NOT _kept OR _seen > 1")
+    flags = Workspace(spark, "flags").save(flags, "flags")
     once = docs.join(flags.select(gone), docs[id_col] == F.col(gone), "left_anti")
-    # Kept ids in several rows: equal ids are one document.
+    # Kept ids in several rows: equal ids are one document, by one aggregate with partial minima.
     again = docs.join(flags.filter("_kept").select(gone), docs[id_col] == F.col(gone), "left_semi")
-    return once.unionByName(again.orderBy(id_col, text_col).dropDuplicates([id_col]))
+    rest = F.struct(*(F.col(c) for c in docs.columns))
+    least = again.groupBy(F.col(id_col).alias(gone)).agg(F.min_by(rest, F.struct(F.col(text_col).isNull(), text_col)).alias("_row"))
+    return once.unionByName(least.select("_row.*"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import table, text_slices
+from lexmill.llm.common import lean, table, text_slices
 from lexmill.llm.tokens import MEMO_WORDS, encoder, tokenizer_path
 
 TIERS = (1024, 512, 256, 128)
@@ -173,7 +173,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, tuple(tiers), step_tokens, with_ids, memo_words, slice_bytes), schema)
+    return rows.mapInArrow(lean(_pack(tokenizer or tokenizer_path(), end_id, tuple(tiers), step_tokens, with_ids, memo_words, slice_bytes)), schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import crc_remainder, free_name, least_hashes, table, text_slices
+from lexmill.llm.common import crc_remainder, free_name, lean, least_hashes, release, table, text_slices
 from lexmill.llm.shingles import _BLANK, column_bytes, word_hashes
 
 #: The field is fitted on at most so many labelled documents, those with the least hashes of their ids.
@@ -236,7 +236,7 @@ def score_documents(docs: DataFrame, model: Model | None, spark: SparkSession, *
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"doc_id {kind}, score double, predicted int, good_share double, n_lines long")
+    return rows.mapInArrow(lean(_score(spark.sparkContext.broadcast(model))), f"doc_id {kind}, score double, predicted int, good_share double, n_lines long")
 
 
 def keep_good(docs: DataFrame, model: Model | None, spark: SparkSession, *, text_col: str = "text") -> DataFrame:
@@ -251,6 +251,7 @@ def keep_good(docs: DataFrame, model: Model | None, spark: SparkSession, *, text
             batch = pa.RecordBatch.from_arrays([column.cast(pa.string())], ["text"])
             parts = [b.column("predicted") for b in _score(shared)(iter([batch]))]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.int32())
+        release()
 
     predict.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     judge = F.arrow_udf(predict, "int")

@@ -12,11 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Workspace, crc32_ids, table, text_slices
+from lexmill.llm.common import Workspace, crc32_ids, lean, table, text_slices
 from lexmill.llm.tokens import encoder, tokenizer_path
 
 BITS = 20  # the frequencies of a table sum to 2**BITS
-LANES = 1024  # interleaved states of a block
+LANES = 2048  # interleaved states of a block
 BLOCK_IDS = 262_144  # a block closes after the document that reaches so many ids
 CHECKPOINT_STEPS = 128  # steps of all lanes between two checkpoints
 MAGIC = b"LXR1"
@@ -47,13 +47,15 @@ class Coder:
 
     def __init__(self, freq: np.ndarray):
         self.freq = np.asarray(freq, np.uint64)
-        self.cum = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
+        self.both = (self.freq << np.uint64(32)) | (np.cumsum(self.freq) - self.freq).astype(np.uint64)  # with the sums before: one look for two
         self.slots: np.ndarray | None = None
 
     def encode(self, ids: np.ndarray) -> bytes:
         """Lane j takes the ids j, j + LANES, ...; ids are coded last to first, so words are read first to last."""
         n, steps = len(ids), -(-len(ids) // LANES)
-        freq, cum = self.freq[ids], self.cum[ids]
+        freq = self.both[ids]
+        cum = freq & np.uint64(0xFFFFFFFF)
+        freq >>= np.uint64(32)
         state = np.full(LANES, _LOW, np.uint64)
         words: list[np.ndarray] = []
         points: list[tuple[int, bytes]] = []
@@ -98,7 +100,8 @@ class Coder:
             low = x & mask
             ids = self.slots[low]
             out[(t - begin) * lanes : (t - begin) * lanes + k] = ids
-            x = self.freq[ids] * (x >> bits) + low - self.cum[ids]
+            both = self.both[ids]
+            x = (both >> np.uint64(32)) * (x >> bits) + low - (both & np.uint64(0xFFFFFFFF))
             under = x < _LOW
             if m := int(under.sum()):
                 x[under] = (x[under] << np.uint64(32)) | words[at : at + m]
@@ -148,28 +151,40 @@ def _blocks(freq, bases):
         coder, base = Coder(freq.value), bases.value
         names = ["part", "start", "doc_ids", "lengths", "block"]
         kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        docs: list = []
-        held: list[np.ndarray] = []
+        held: list[tuple] = []  # part, place there, doc ids, lengths, ids of whole documents that follow each other
+        size = 0
 
         def block() -> pa.RecordBatch:
-            row = [docs[0][0], base[docs[0][0]] + docs[0][2], [d[1] for d in docs], [d[3] for d in docs], coder.encode(np.concatenate(held))]
-            docs.clear(), held.clear()
+            part, rel = held[0][:2]
+            row = [part, base[part] + rel, sum((h[2] for h in held), []), np.concatenate([h[3] for h in held]).tolist(), coder.encode(np.concatenate([h[4] for h in held]).astype(np.int64))]
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
-        size = 0
         for batch in batches:
-            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "rel", "n_tokens", "wide")), strict=True)):
-                # A block holds documents that follow each other without a gap.
-                if docs and (docs[-1][0] != row[0] or docs[-1][2] + docs[-1][3] != row[2]):
-                    yield block()
-                    size = 0
-                docs.append(row)
-                held.append(_ids(batch, i, row[4]).astype(np.int64))
-                size += row[3]
-                if size >= BLOCK_IDS:
+            if not batch.num_rows:
+                continue
+            part, rel, n, wide = (batch.column(c).to_numpy() for c in ("part", "rel", "n_tokens", "wide"))
+            doc_ids, column = batch.column("doc_id").to_pylist(), batch.column("ids")
+            _, offsets, data = column.buffers()
+            offsets = np.frombuffer(offsets, np.int32, len(n) + 1, column.offset * 4).astype(np.int64)
+            # A block ends with its part, at a gap, and with the document that fills it.
+            gap = np.concatenate([[False], (part[1:] != part[:-1]) | (rel[1:] != rel[:-1] + n[:-1])])
+            if held and (held[-1][0] != part[0] or held[-1][1] + int(held[-1][3].sum()) != rel[0]):
+                yield block()
+                size = 0
+            upto, a = np.cumsum(n), 0
+            while a < len(n):
+                full = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BLOCK_IDS - size)) + 1
+                more = np.flatnonzero(gap[a + 1 : full])
+                b = min(len(n), full) if not len(more) else a + 1 + int(more[0])
+                own = np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]].tobytes()
+                held.append((int(part[a]), int(rel[a]), doc_ids[a:b], n[a:b], np.frombuffer(own, f"<u{wide[a]}")))
+                size += int(n[a:b].sum())
+                if size >= BLOCK_IDS or len(more):
                     yield block()
                     size = 0
-        if docs:
+                a = b
+        if held:
             yield block()
 
     return run
@@ -193,7 +208,8 @@ def write_ids(docs: DataFrame, spark: SparkSession, out: str, *, id_col: str = "
 
     ``out/table`` has the shared frequencies, ``out/blocks`` the blocks: each row
     is one independent block of whole documents (``part, start, doc_ids, lengths,
-    block``), in the order of the ids within a file and over the files. Parquet
+    block``); their ids ascend within a file and over the files in the order of
+    their names, however the scans of the steps are split. Parquet
     is only the container, so that any store that Spark writes to will do and a
     failed task leaves nothing behind; ``block`` is the coder's own format, with a
     header, two checksums, the last states, checkpoints and the word stream.
@@ -207,7 +223,7 @@ def write_ids(docs: DataFrame, spark: SparkSession, out: str, *, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ids = space.save(ranged.mapInArrow(_tokenise(path, end_id), "part int, doc_id long, rel long, n_tokens long, ids binary, wide int"), "ids")
+    ids = space.save(ranged.mapInArrow(lean(_tokenise(path, end_id)), "part int, doc_id long, rel long, n_tokens long, ids binary, wide int"), "ids", "lz4")
     # One number per task and one per symbol of the vocabulary: both bounded, both small.
     bases, before = {}, 0
     for part, n in sorted(ids.groupBy("part").agg(F.sum("n_tokens")).collect()):
@@ -220,6 +236,8 @@ def write_ids(docs: DataFrame, spark: SparkSession, out: str, *, id_col: str = "
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "id int, freq long").coalesce(1).write.mode("overwrite").parquet(f"{out}/table")
     sc = spark.sparkContext
     blocks = ids.filter("rel >= 0").mapInArrow(_blocks(sc.broadcast(freq), sc.broadcast(bases)), "part int, start long, doc_ids array<long>, lengths array<long>, block binary")
+    # A scan deals splits out by their size; the coded blocks, the smallest form of the ids, are put in order again, a file for each part.
+    blocks = blocks.repartitionById(max(bases, default=0) + 1, "part").sortWithinPartitions("start")
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{out}/blocks")
     space.drop("ids")
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
 #: Words that a memo keeps; later new words are encoded each time they appear.
 MEMO_WORDS = 1_200_000
+_UNKNOWN = -2
+JOINED = 500  # new pieces that one call encodes
 #: Letters that are \p{L} in every Unicode version.
 _LETTERS = r"[A-Za-zÀ-ÖØ-öø-ʯ]+"
 _WORD = re.compile(rf"({_LETTERS})([.,;:!?|*#$%&()]*)")
 #: A space between two characters that are white space in no Unicode version.
 _CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
 _EDGES = re.compile("[\\s\u180e\u200b\ufeff]")
+_BLANKS = frozenset(c for c in map(chr, range(0x10000)) if _EDGES.match(c))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,6 +53,8 @@ class TextEncoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), memo_words
         self.model, self.bytes = self.tokenizer.model, _byte_letters()
         self.space = self.bytes[32]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(self.space)]] = True
         self.memo: dict = {}  # a piece after a space is a str, one at the start of a text a 1-tuple
         self.ends: dict[str, list[int]] = {}  # ids of punctuation after letters, and of a line end
         self.flat, self.starts, self.lens = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
@@ -62,16 +69,20 @@ class TextEncoder:
         return self.n + len(self.new_lens) - 1
 
     def _settle(self) -> None:
-        k, n = len(self.new_ids), len(self.new_lens)
+        if self.new_lens:
+            ids, lens, self.new_ids, self.new_lens = self.new_ids, self.new_lens, [], []
+            self._extend(np.array(ids, np.int32), np.array(lens, np.int64))
+
+    def _extend(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        k, n = len(ids), len(lens)
         while self.used + k > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.n + n > len(self.starts):
             self.starts, self.lens = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.lens))
-        self.flat[self.used : self.used + k] = self.new_ids
-        lens = np.array(self.new_lens, np.int64)
+        self.flat[self.used : self.used + k] = ids
         self.lens[self.n : self.n + n] = lens
         self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
-        self.used, self.n, self.new_ids, self.new_lens = self.used + k, self.n + n, [], []
+        self.used, self.n = self.used + k, self.n + n
 
     def _direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -116,8 +127,34 @@ class TextEncoder:
             ids = [*ids, *self._end("\n"), *self._word(x, False)]
         return self._add(ids)
 
+    def _fill(self, extra: dict) -> None:
+        """Indexes of new pieces. Those after a space are joined by spaces again and encoded by the library in a few calls.
+
+        The token that holds a piece's space opens it, and no other token has one.
+        """
+        plain = [k for k in extra if k.__class__ is str and k and k[0] not in _BLANKS and k[-1] not in _BLANKS]
+        if plain:
+            texts = [" " + " ".join(plain[a : a + JOINED]) for a in range(0, len(plain), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            heads = np.flatnonzero(self.opens[ids])
+            if len(heads) == len(plain) and heads[0] == 0:
+                extra.update(zip(plain, range(self.n, self.n + len(plain)), strict=True))
+                self._extend(ids, np.diff(np.append(heads, len(ids))))
+        for key, at in extra.items():
+            if at is None:
+                extra[key] = self._new(key)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; null is the empty text."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the memo is large
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = [], []
         for t in texts:
             if t:
@@ -128,17 +165,12 @@ class TextEncoder:
             else:
                 counts.append(0)
         memo, kept_n, kept_used = self.memo, self.n, self.used
-        found = list(map(memo.get, keys))
-        extra: dict = {}
+        index = np.fromiter(map(memo.get, keys, repeat(_UNKNOWN)), np.int64, len(keys))
         room = len(memo) < self.limit
-        for i, at in enumerate(found):
-            if at is None:
-                key = keys[i]
-                at = extra.get(key)
-                if at is None:
-                    at = extra[key] = self._new(key)
-                found[i] = at
-        index = np.array(found, np.int64)
+        missing = np.flatnonzero(index == _UNKNOWN).tolist()
+        extra = dict.fromkeys([keys[i] for i in missing])
+        self._fill(extra)
+        index[missing] = [extra[keys[i]] for i in missing]
         self._settle()
         if len(index) and index.min() < 0:
             index, counts = self._uncut(texts, index, counts)

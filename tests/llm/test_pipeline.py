@@ -58,3 +58,57 @@ def test_stages_against_plain_python(spark, tmp_path):
     for i, t in text["mixing"]:
         packed.setdefault(i, []).append(t)
     check_packing(steps["packing"].collect(), packed)
+
+
+CLASHES = ("n_lines", "n_removed", "n_spans", "_s", "_k", "size", "reps", "key", "id", "component", "kept", "predicted_", "slice_", "gone_", "_row")
+LINES = [f"the committee met on day {i} and agreed to read the report of its member number {i} again before the summer" for i in range(30)]
+
+
+def odd(spark):
+    """Null, empty, blank and long texts, a null source, null and repeated ids, repeated rows, ties and clashing columns."""
+    page = "\n".join(LINES[:6])
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \n\t\n ", None), (4, page, "b"), (4, page, "b"), (5, page + "\nOne more line that only this text has.", None)]
+    rows += [(None, "\n".join(LINES[6:12]), "b"), (None, "\n".join(LINES[6:12]), "b"), (6, "\n".join(f"{x} in chapter {k}" for k in range(40) for x in LINES), "c"), (7, "\n".join(LINES[12:20]), "c"), (8, "\n".join(LINES[12:20]), "c")]
+    rows += [(9, "\n".join(LINES[20:25]), "a"), (9, "\n".join(LINES[25:29]), "a")]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
+    return spark.createDataFrame([(i, t, s, None if t is None else len(t), *([3] * len(CLASHES))) for i, t, s in rows], schema).repartition(3)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs, texts = odd(spark), {}
+    columns = docs.columns
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, D).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        if name == "packing":
+            break
+        assert docs.columns == columns
+        assert docs.filter(" OR ".join(f"`{c}` <> 3" for c in CLASHES)).count() == 0
+        texts[name] = Counter((r.doc_id, r.text) for r in docs.collect())
+        given = Counter((r.doc_id, r.text) for r in before.collect())
+        if name == "quality":  # equal texts share their fate, and no row is made
+            fate = {}
+            for (i, t), n in given.items():
+                assert texts[name][i, t] in (0, n)
+                assert fate.setdefault(t, texts[name][i, t] > 0) == (texts[name][i, t] > 0)
+        if name == "line_dedup":
+            assert sum(texts[name].values()) <= sum(given.values())
+            assert {(i, t) for i, t in given if i is None or not t} <= set(texts[name])
+        if name == "near_dedup":
+            ids = [i for i, n in texts[name].items() for _ in range(n) if i[0] is not None]
+            assert len(ids) == len({i for i, _ in ids})
+            assert all(texts[name][i, t] == n for (i, t), n in given.items() if i is None)
+            assert {i for i, t in given if not (t or "").split()} <= {i for i, _ in texts[name]}
+        if name == "mixing":
+            assert all((t or "").split() for _, t in texts[name]) and all(n <= 3 * given[k] for k, n in texts[name].items())
+    packed = {}
+    for (i, t), n in texts["mixing"].items():
+        packed.setdefault(i, []).extend([t] * n)
+    check_packing(docs.collect(), packed)
+
+
+def test_empty_table_and_session_options(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    assert pipeline.apply(spark, odd(spark).limit(0), D).count() == 0
+    assert spark.conf.get(name) == before

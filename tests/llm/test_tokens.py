@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +77,28 @@ def test_files_keep_order_and_ids(spark, tmp_path):
         at += len(ids)
 
 
+@pytest.mark.parametrize("split", ["40k", "128m"])
+def test_files_ascend_in_the_order_of_their_names(spark, tmp_path, split):
+    """Block files, read in name order without sorting, hold every id once and in order, for small scan splits and large ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5, "text")
+    big = spark.createDataFrame([(50, "a b " * 300_000), (51, None), (10_000, "c")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        write_ids(docs.select("doc_id", "text").union(big), spark, str(tmp_path / "g"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    files = sorted((tmp_path / "g" / "blocks").glob("part-*.parquet"))
+    blocks = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert len(files) > 1 and len(blocks) > len(files) / 2
+    at, last = 0, -1
+    for b in blocks:
+        assert b["start"] == at and b["doc_ids"] == sorted(b["doc_ids"]) and b["doc_ids"][0] >= last
+        at, last = at + sum(b["lengths"]), b["doc_ids"][-1]
+    assert sum(len(b["doc_ids"]) for b in blocks) == docs.count() + 3
+    assert read_ids(spark, str(tmp_path / "g")).count() == docs.count() + 3
+
+
 def test_empty_table_of_ids(spark, tmp_path):
     write_ids(frame(spark, []), spark, str(tmp_path / "e"))
     assert read_ids(spark, str(tmp_path / "e")).count() == 0
