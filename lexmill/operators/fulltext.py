@@ -66,7 +66,11 @@ _LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()+*:,{}^-])|([\w\u0080-
 
 
 def parse(text: str, columns: list[str]) -> Phrase | Op:
-    """Precedence from the tightest: column filters and phrases, space or AND, NOT, OR. Operators are upper case."""
+    """Precedence from the tightest: column filters and phrases, a space, NOT, AND, OR. Operators are upper case.
+
+    Parentheses stand alone between operators; a filter before them holds for all
+    phrases inside, and one within another for what both allow.
+    """
     toks, at = [], 0
     while at < len(text.rstrip()):
         m = _LEX.match(text, at)
@@ -92,60 +96,81 @@ def parse(text: str, columns: list[str]) -> Phrase | Op:
         s = "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)).lower()
         return tuple("".join(c if c.isalnum() else " " for c in s).split())
 
-    def either():
-        parts = [minus()]
-        while peek() == ("word", "OR"):
+    def level(kind, inner):
+        parts = [inner()]
+        while peek() == ("word", kind):
             take()
-            parts.append(minus())
-        return parts[0] if len(parts) == 1 else Op("OR", tuple(parts))
+            parts.append(inner())
+        return parts[0] if len(parts) == 1 else Op(kind, tuple(parts))
+
+    def either():
+        return level("OR", both)
+
+    def both():
+        return level("AND", minus)
 
     def minus():
-        left = both()
+        left = listed()
         while peek() == ("word", "NOT"):
             take()
-            left = Op("NOT", (left, both()))
+            left = Op("NOT", (left, listed()))
         return left
 
-    def both():
-        parts = [unit(None)]
-        while True:
-            if peek() == ("word", "AND"):
-                take()
-            elif peek()[0] == "end" or peek() in (("word", "OR"), ("word", "NOT"), ("sym", ")")):
-                break
-            parts.append(unit(None))
+    def listed():
+        """Phrases parted by spaces, all wanted, or one expression in parentheses."""
+        if peek() == ("sym", "("):
+            return group(None)
+        parts = []
+        while not parts or not (peek()[0] == "end" or peek() in (("word", "OR"), ("word", "AND"), ("word", "NOT"), ("sym", ")"))):
+            scope = columns_of()
+            if scope is not None and peek() == ("sym", "("):
+                if parts:
+                    raise QueryError("syntax error near '('")
+                return group(scope)
+            parts.append(near(scope) if peek() == ("word", "NEAR") and peek(1) == ("sym", "(") else phrase(scope))
         return parts[0] if len(parts) == 1 else Op("AND", tuple(parts))
 
-    def unit(scope):
-        if peek() == ("sym", "("):
-            take()
-            inner = either()
-            take(("sym", ")"))
-            return scoped(inner, scope)
-        if peek() == ("sym", "{"):
-            take()
+    def group(scope):
+        take(("sym", "("))
+        inner = either()
+        take(("sym", ")"))
+        return scoped(inner, scope)
+
+    def columns_of():
+        """The columns of a filter that starts here, those it leaves for one that starts with a minus, or None."""
+        less = peek() == ("sym", "-")
+        at = 1 if less else 0
+        if peek(at) == ("sym", "{"):
             names = []
-            while peek() != ("sym", "}"):
-                names.append(take()[1])
-            take()
-            take(("sym", ":"))
-            return unit(known(names))
-        if peek()[0] in ("word", "str") and peek(1) == ("sym", ":"):
-            name = take()[1]
-            take()
-            return unit(known([name]))
-        if peek() == ("word", "NEAR") and peek(1) == ("sym", "("):
+            while peek(at + 1) != ("sym", "}"):
+                at += 1
+                if peek(at)[0] not in ("word", "str"):
+                    raise QueryError(f"syntax error near {peek(at)[1]!r}")
+                names.append(peek(at)[1])
+            at += 2
+        elif peek(at)[0] in ("word", "str") and peek(at + 1) == ("sym", ":"):
+            names, at = [peek(at)[1]], at + 1
+        elif less:
+            raise QueryError("syntax error near '-'")
+        else:
+            return None
+        for _ in range(at):
             take()
+        take(("sym", ":"))
+        named = known(names)
+        return tuple(c for c in columns if c not in named) if less else named
+
+    def near(scope):
+        take()
+        take()
+        parts, distance = [], 10
+        while peek() not in (("sym", ")"), ("sym", ",")):
+            parts.append(phrase(scope))
+        if peek() == ("sym", ","):
             take()
-            parts, distance = [], 10
-            while peek() not in (("sym", ")"), ("sym", ",")):
-                parts.append(phrase(scope))
-            if peek() == ("sym", ","):
-                take()
-                distance = int(take()[1])
-            take(("sym", ")"))
-            return Op("NEAR", tuple(parts), distance)
-        return phrase(scope)
+            distance = int(take()[1])
+        take(("sym", ")"))
+        return Op("NEAR", tuple(parts), distance)
 
     def known(names):
         for n in names:
@@ -157,7 +182,8 @@ def parse(text: str, columns: list[str]) -> Phrase | Op:
         if scope is None:
             return node
         if isinstance(node, Phrase):
-            return Phrase(node.terms, node.prefix, node.first, scope)
+            own = scope if node.columns is None else tuple(c for c in node.columns if c in scope)
+            return Phrase(node.terms, node.prefix, node.first, own)
         return Op(node.kind, tuple(scoped(p, scope) for p in node.parts), node.distance)
 
     def phrase(scope):

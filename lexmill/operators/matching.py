@@ -11,6 +11,7 @@ from lexmill.functions import scalars as S
 
 ROWS_PER_ATTEMPT = 10
 LEAST_SCORE = 40
+DATA_SOURCE = "parcel address table"
 
 
 def requests_of(df: DataFrame, key: str, address: str) -> DataFrame:
@@ -85,7 +86,7 @@ def property_record(parcels: DataFrame, asked: Column | None = None) -> DataFram
     acres = num("KCA_ACRES", None)
     sqft = num("LOTSQFT", F.when(F.coalesce(acres, F.lit(0.0)) != 0, acres * S.SQFT_PER_ACRE).otherwise(0.0))
     parcel_no = S.text_or(text("PIN"), F.when((F.coalesce(text("MAJOR"), F.lit("")) != "") & (F.coalesce(text("MINOR"), F.lit("")) != ""), F.concat(text("MAJOR"), text("MINOR"))).otherwise("Not Available"))
-    seed = F.xxhash64(parcel_no)
+    seed = F.conv(F.substring(F.md5(parcel_no), 1, 8), 16, 10).cast("long")  # placeholders, the same in every run
     record = {
         "address": S.text_or(text("ADDR_FULL"), text("ADDRESS"), asked if asked is not None else F.lit(None).cast("string")),
         "parcel_number": parcel_no,
@@ -107,5 +108,15 @@ def property_record(parcels: DataFrame, asked: Column | None = None) -> DataFram
         "latitude": S.text_or(text("LAT"), text("POINT_Y")),
         "longitude": S.text_or(text("LON"), text("POINT_X")),
         "legal_description": S.text_or(text("LEGALDESC"), F.lit(None).cast("string")),
+        "data_source": F.lit(DATA_SOURCE),
     }
     return parcels.select("*", *(c.alias(n) for n, c in record.items()))
+
+
+#: The keys of a property's summary in a prompt.
+SUMMARY = ("address", "parcel_number", "lot_size_sqft", "lot_size_acres", "property_type", "present_use", "zone_classification", "zone_description", "jurisdiction", "neighborhood", "appraised_value", "taxable_value", "canopy_coverage", "tree_count", "legal_description", "latitude", "longitude")
+
+
+def property_summary(records: DataFrame) -> Column:
+    """The facts of a property record that a prompt has, as one struct."""
+    return F.struct(*(records[c] for c in SUMMARY))

@@ -11,6 +11,8 @@ from lexmill.operators import fulltext
 from lexmill.operators.keys import keep_first, keep_last
 from lexmill.operators.vectors import dot, encode
 
+#: Evidence requests of one call.
+REQUESTS = 1000
 RESULT = ["chunk_id", "score", "text", "full_citation", "section_heading", "chapter_title", "title_number", "title_label"]
 
 
@@ -67,14 +69,21 @@ class Retriever:
         return found.orderBy("rank").select(*RESULT, "metadata")
 
     def gather(self, requests: DataFrame) -> DataFrame:
-        """The best chunks of every evidence request; of requests with one label the last counts.
+        """The best chunks of every evidence request; of requests with one label the last counts, gate and all.
 
-        All requests run as one job: their filters are columns of the broadcast
-        request rows. Only full-text gates are parsed one by one, as each is a
-        query of its own.
+        The last is that of the highest ``position`` where there is such a column,
+        and else of the frame's own order. All requests, which are what a user
+        asks for one report and at most REQUESTS, run as one job: their filters
+        are columns of the broadcast request rows. Only full-text gates are parsed
+        one by one, as each is a query of its own.
         """
-        ordered = requests.withColumn("_no", F.monotonically_increasing_id())
-        asked = encode(keep_last(ordered, "label", "_no"), "query", self.model, "query_vector")
+        number = F.col("position") if "position" in requests.columns else F.monotonically_increasing_id()
+        last = keep_last(requests.withColumn("_no", number), "label", "_no").limit(REQUESTS + 1).collect()
+        if len(last) > REQUESTS:
+            raise ValueError(f"more than {REQUESTS} requests; ask for them in several calls")
+        most = max([4 if r["top_k"] is None else r["top_k"] for r in last], default=0)
+        kept = self.spark.createDataFrame(last, requests.schema.add("_no", "long"))
+        asked = encode(kept, "query", self.model, "query_vector")
         asked = asked.select("label", "query_vector", F.col("title_number").alias("_title"), F.col("section_prefix").alias("_prefix"), F.col("chunk_types").alias("_types"), F.col("fts_query").alias("_fts"), F.coalesce("top_k", F.lit(4)).alias("_k"))
         rows = self.chunks.join(self.vectors, "chunk_id")
         fits = every(
@@ -83,7 +92,7 @@ class Retriever:
             F.col("_types").isNull() | (F.size("_types") == 0) | F.array_contains("_types", F.col("chunk_type")),
         )
         met = rows.join(F.broadcast(asked), fits)
-        gated = [r for r in requests.filter("fts_query IS NOT NULL AND fts_query <> ''").collect()]
+        gated = [r for r in last if r["fts_query"]]
         if gated:
             if self.index is None:
                 raise ValueError("a full-text gate needs an index")
@@ -96,6 +105,7 @@ class Retriever:
             met = met.filter("_fts IS NULL OR _fts = ''").unionByName(inside)
         met = met.withColumn("score", dot(F.col("embedding"), F.col("query_vector")))
         w = Window.partitionBy("label").orderBy(F.desc("score"), self.order)
-        best = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("_k"))
+        # The literal limit lets tasks drop rows before the shuffle.
+        best = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).filter(F.col("rank") <= F.col("_k"))
         record = F.struct(*(F.col(c) for c in self.chunks.columns)).alias("metadata")
         return best.select("label", "rank", *[F.coalesce("text", F.lit("")).alias("text") if c == "text" else c for c in RESULT], record)

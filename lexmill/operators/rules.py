@@ -55,7 +55,7 @@ def checklist(df: DataFrame) -> DataFrame:
                 item("Calculate lot coverage", F.lit("Maximum lot coverage"), r["lot_code"], F.format_string("Max %d%% of %s sq ft = %s sq ft", r["max_lot_pct"], F.format_number("lot_size_sqft", 0), F.format_number(most, 0))),
             ),
             category("Tree Protection (SMC 25.11)", item("Complete tree inventory", F.lit('Document all trees ≥6" diameter'), F.lit("SMC 25.11.050"), F.format_string("Property shows %d%% canopy. Inventory required.", "canopy_coverage"))),
-            category("Required Permits", item("Building Permit", F.lit("Building permit application through the city's services portal"), F.lit("SMC 22.801"), F.lit("Submit at the city's permit portal"))),
+            category("Required Permits", item("Building Permit", F.lit("Building permit application through Seattle Services Portal"), F.lit("SMC 22.801"), F.lit("Submit at cosaccela.seattle.gov/portal/"))),
         ),
     )
 

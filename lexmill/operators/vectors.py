@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH = 64
+#: Requests that meet a table in one round.
+ROUND = 2000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,12 +67,17 @@ def encode(df: DataFrame, text: str, model: Callable = None, out: str = "embeddi
 def search_many(requests: DataFrame, vectors: DataFrame, k: int | Column, *, request_key: str = "label", order: str = "ord", where: Column | None = None) -> DataFrame:
     """The k best rows per request by inner product, exact, for many requests in one job.
 
-    ``requests`` (``label, query_vector``) are few by nature, one per question that
-    is asked, and are broadcast; the table is read once, its filters and columns
-    are pushed into the scan, and only k rows per request leave each task.
+    ``requests`` (``label, query_vector``) meet the table in rounds of at most
+    about ROUND, dealt out by a hash, so what is broadcast does not grow with
+    them. The table's filters and columns are pushed into the scan, and at most
+    the largest k rows per request leave each task, also where ``k`` is a column.
     """
     rows = vectors if where is None else vectors.filter(where)
-    met = rows.join(F.broadcast(requests))
-    scored = met.withColumn("score", dot(F.col("embedding"), F.col("query_vector")))
+    rounds = max(1, -(-requests.count() // ROUND))
+    most = k if isinstance(k, int) else requests.agg(F.max(k)).first()[0] or 0
+    dealt = F.pmod(F.xxhash64(F.col(request_key)), F.lit(rounds))
+    scored = reduce(DataFrame.unionByName, [rows.join(F.broadcast(requests.filter(dealt == r) if rounds > 1 else requests)) for r in range(rounds)])
+    scored = scored.withColumn("score", dot(F.col("embedding"), F.col("query_vector")))
     w = Window.partitionBy(request_key).orderBy(F.desc("score"), order)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return best if isinstance(k, int) else best.filter(F.col("rank") <= k)

@@ -6,5 +6,3 @@ from lexmill.plans import documents, records, retrieval
 
 QUERIES = documents.QUERIES | retrieval.QUERIES | records.QUERIES
 ORACLES = documents.ORACLES | retrieval.ORACLES | records.ORACLES
-#: Queries without SQL.
-WHOLE = retrieval.WHOLE | records.WHOLE

@@ -13,7 +13,7 @@ parcels AS (SELECT c_custkey::VARCHAR AS PIN, (c_custkey % 60)::VARCHAR || ' ' |
   c_custkey % 60 AS ADDR_NUM, CASE WHEN c_nationkey % 5 = 0 THEN 'Tacoma' ELSE 'Seattle' END AS CTYNAME, c_mktsegment AS ADDR_SN, CASE c_nationkey % 4 WHEN 0 THEN 'ST' WHEN 1 THEN 'AVE' WHEN 2 THEN 'DR' ELSE 'RD' END AS ADDR_ST,
   CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS PRIMARY_ADDR, CASE WHEN c_custkey % 7 = 0 THEN 'B' END AS UNIT_NUM FROM customer),
 asked AS (SELECT c_custkey AS request, CASE c_custkey % 100 // 25 WHEN 0 THEN ' ' || (c_custkey % 60) || '  ' || lower(c_mktsegment) || ' Street, Seattle WA 98101' WHEN 1 THEN c_mktsegment || ' avenue' WHEN 2 THEN (c_custkey % 60) || ' ' || substr(c_mktsegment, 1, 4) || ' road' ELSE (c_custkey % 60) || ' Nowhere Boulevard' END AS asked
-  FROM customer WHERE c_custkey % 25 = 1),
+  FROM customer),
 n0 AS (SELECT request, asked, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(trim(asked)), '\\s+', ' ', 'g'), ',.*$', ''), 'SEATTLE.*$', ''), 'WA.*$', ''), '\\d{5}.*$', '') AS a FROM asked),
 n1 AS (SELECT request, asked, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '\\bSTREET\\b', 'ST', 'g'), '\\bAVENUE\\b', 'AVE', 'g'), '\\bDRIVE\\b', 'DR', 'g'), '\\bROAD\\b', 'RD', 'g'), '\\bBOULEVARD\\b', 'BLVD', 'g'), '\\bNORTH\\b', 'N', 'g'), '\\bSOUTH\\b', 'S', 'g'), '\\bEAST\\b', 'E', 'g'), '\\bWEST\\b', 'W', 'g')) AS norm FROM n0),
 req AS (SELECT *, NULLIF(regexp_extract(norm, '^(\\d+)\\s+(.+)$', 1), '') AS number, COALESCE(NULLIF(regexp_extract(norm, '^(\\d+)\\s+(.+)$', 2), ''), norm) AS street FROM n1)
@@ -37,9 +37,9 @@ def _parcels(spark, d):
     )
 
 
-def _requests(spark, d, which="c_custkey % 25 = 1"):
-    """Requests of the customers that the SQL covers, or of ``which``."""
-    c, n = read(spark, d, "customer").filter(which), (F.col("c_custkey") % 60).cast("string")
+def _requests(spark, d):
+    """A request of every customer."""
+    c, n = read(spark, d, "customer"), (F.col("c_custkey") % 60).cast("string")
     form = F.floor(F.col("c_custkey") % 100 / 25)
     text = F.when(form == 0, F.concat(F.lit(" "), n, F.lit("  "), F.lower("c_mktsegment"), F.lit(" Street, Seattle WA 98101"))).when(form == 1, F.concat("c_mktsegment", F.lit(" avenue")))
     text = text.when(form == 2, F.concat(n, F.lit(" "), F.substring("c_mktsegment", 1, 4), F.lit(" road"))).otherwise(F.concat(n, F.lit(" Nowhere Boulevard")))
@@ -54,10 +54,6 @@ def address_norm(spark, d):
     return _norms(_requests(spark, d))
 
 
-def address_norm_all(spark, d):
-    return _norms(_requests(spark, d, "true"))
-
-
 ADDRESS_NORM = "WITH " + _PARCEL_SQL + "SELECT request, norm, number, street, array_to_string(list_filter(list_transform(string_split(street, ' '), lambda t: regexp_replace(upper(t), '[^A-Z0-9]', '', 'g')), lambda t: t <> ''), '|') AS tokens FROM req"
 
 _FOUND = (
@@ -78,10 +74,6 @@ def cascade_lookup(spark, d):
     return matching.lookup(_requests(spark, d), _parcels(spark, d)).select("request", "attempt", "PIN")
 
 
-def cascade_lookup_all(spark, d):
-    return matching.lookup(_requests(spark, d, "true"), _parcels(spark, d)).select("request", "attempt", "PIN")
-
-
 CASCADE_LOOKUP = "WITH " + _FOUND + " SELECT request, attempt, PIN FROM found"
 
 _SCORED = (
@@ -106,10 +98,6 @@ def match_score(spark, d):
     return _scores(_requests(spark, d), _parcels(spark, d))
 
 
-def match_score_all(spark, d):
-    return _scores(_requests(spark, d, "true"), _parcels(spark, d))
-
-
 MATCH_SCORE = "WITH " + _SCORED + " SELECT request, PIN, score::BIGINT AS score, street_all FROM sc"
 
 
@@ -121,10 +109,6 @@ def match_pick(spark, d):
     return _picks(_requests(spark, d), _parcels(spark, d))
 
 
-def match_pick_all(spark, d):
-    return _picks(_requests(spark, d, "true"), _parcels(spark, d))
-
-
 MATCH_PICK = (
     "WITH "
     + _SCORED
@@ -156,26 +140,23 @@ rec AS (SELECT *, COALESCE(ac, 0.0) AS acres, CASE WHEN sq IS NULL OR sq = '' TH
 
 
 def property_record(spark, d):
+    """Every derived column; the summary that a prompt has is its JSON."""
     r = matching.property_record(_lots(spark, d))
-    return r.select("PIN", "address", "parcel_number", "lot_size_sqft", F.round("lot_size_acres", 6).alias("acres"), "zone_classification", "property_type", F.round("appraised_value", 2).alias("appraised"), "year_built", "jurisdiction")
+    r = r.withColumn("lot_size_acres", F.round("lot_size_acres", 6)).withColumn("appraised_value", F.round("appraised_value", 2))
+    derived = ("address", "parcel_number", "lot_size_sqft", "lot_size_acres", "property_type", "property_class", "present_use", "appraised_value", "taxable_value", "year_built", "building_area", "zone_classification", "zone_description", "jurisdiction", "neighborhood", "canopy_coverage", "tree_count", "latitude", "longitude", "legal_description", "data_source")
+    return r.select("PIN", *derived, F.size(F.json_object_keys(F.to_json(matching.property_summary(r), {"ignoreNullFields": "false"}))).alias("summary_keys"))
 
 
-PROPERTY_RECORD = "WITH " + _LOTS + "SELECT PIN, ADDR_FULL AS address, PIN::VARCHAR AS parcel_number, floor(sqft + 0.5)::BIGINT AS lot_size_sqft, round(CASE WHEN acres <> 0 THEN acres WHEN sqft <> 0 THEN sqft / 43560 END, 6) AS acres, zone AS zone_classification, COALESCE(use, 'Residential') AS property_type, round(s_acctbal + 12.5, 2) AS appraised, 'Unknown' AS year_built, 'SEATTLE' AS jurisdiction FROM rec"
+PROPERTY_RECORD = "WITH " + _LOTS + "SELECT PIN, ADDR_FULL AS address, PIN::VARCHAR AS parcel_number, floor(sqft + 0.5)::BIGINT AS lot_size_sqft, round(CASE WHEN acres <> 0 THEN acres WHEN sqft <> 0 THEN sqft / 43560 END, 6) AS lot_size_acres, COALESCE(use, 'Residential') AS property_type, cls || 'X' AS property_class, COALESCE(use, 'Single Family') AS present_use, round(s_acctbal + 12.5, 2) AS appraised_value, 0.0::DOUBLE AS taxable_value, 'Unknown' AS year_built, '0' AS building_area, zone AS zone_classification, 'Zone: ' || zone AS zone_description, 'SEATTLE' AS jurisdiction, 'Unknown' AS neighborhood, 10 + ('0x' || substr(md5(PIN::VARCHAR), 1, 8))::BIGINT % 30 AS canopy_coverage, 1 + ('0x' || substr(md5(PIN::VARCHAR), 1, 8))::BIGINT // 256 % 5 AS tree_count, NULL::VARCHAR AS latitude, NULL::VARCHAR AS longitude, NULL::VARCHAR AS legal_description, 'parcel address table' AS data_source, 17 AS summary_keys FROM rec"
 
 
 def _items(spark, d):
     r = rules.checklist(rules.with_rules(matching.property_record(_lots(spark, d)), rules.zone_rules(spark)))
     items = r.select("PIN", F.posexplode("checklist").alias("c", "_c")).select("PIN", "c", F.col("_c.category").alias("category"), F.posexplode("_c.items").alias("i", "_i"))
-    return items.select("PIN", "c", "i", "category", F.col("_i.task").alias("task"), F.col("_i.code").alias("code"), F.col("_i.requirement").alias("requirement"))
+    return items.select("PIN", "c", "i", "category", F.col("_i.task").alias("task"), F.col("_i.required").alias("required"), F.col("_i.description").alias("description"), F.col("_i.code").alias("code"), F.col("_i.requirement").alias("requirement"))
 
 
 def rule_checklist(spark, d):
-    """The two categories that its SQL covers; ``rule_checklist_all`` has all four."""
-    return _items(spark, d).filter("c < 2")
-
-
-def rule_checklist_all(spark, d):
-    """All categories; the trees depend on a hash that SQL lacks."""
     return _items(spark, d)
 
 
@@ -183,10 +164,12 @@ RULE_CHECKLIST = (
     "WITH "
     + _LOTS
     + """, zones(z, f, s, r, sc, pct, lc) AS (VALUES ('SF 5000', 20, 5, 25, 'SMC 23.44.014', 35, 'SMC 23.44.012'), ('SF 7200', 20, 5, 25, 'SMC 23.44.014', 35, 'SMC 23.44.012'), ('LR1', 10, 5, 15, 'SMC 23.45.514', 60, 'SMC 23.45.512')),
-j AS (SELECT rec.PIN, rec.ADDR_FULL, floor(rec.sqft + 0.5)::BIGINT AS lot, k.* FROM rec JOIN zones k ON k.z = CASE WHEN rec.zone IN ('SF 7200', 'LR1') THEN rec.zone ELSE 'SF 5000' END)
-SELECT PIN, 0 AS c, 0 AS i, 'Pre-Application Requirements' AS category, 'Verify property ownership' AS task, 'General' AS code, 'For Parcel #' || PIN || ' at ' || ADDR_FULL AS requirement FROM j
-UNION ALL SELECT PIN, 1, 0, 'Zoning Requirements', 'Verify setback compliance', sc, 'Front: ' || f || 'ft | Side: ' || s || 'ft | Rear: ' || r || 'ft' FROM j
-UNION ALL SELECT PIN, 1, 1, 'Zoning Requirements', 'Calculate lot coverage', lc, 'Max ' || pct || '% of ' || format('{:,}', lot) || ' sq ft = ' || format('{:,}', floor(lot * (pct / 100.0::DOUBLE))::BIGINT) || ' sq ft' FROM j"""
+j AS (SELECT rec.PIN, rec.zone, rec.ADDR_FULL, floor(rec.sqft + 0.5)::BIGINT AS lot, 10 + ('0x' || substr(md5(rec.PIN::VARCHAR), 1, 8))::BIGINT % 30 AS canopy, k.* FROM rec JOIN zones k ON k.z = CASE WHEN rec.zone IN ('SF 7200', 'LR1') THEN rec.zone ELSE 'SF 5000' END)
+SELECT PIN, 0 AS c, 0 AS i, 'Pre-Application Requirements' AS category, 'Verify property ownership' AS task, TRUE AS required, 'Proof of ownership required' AS description, 'General' AS code, 'For Parcel #' || PIN || ' at ' || ADDR_FULL AS requirement FROM j
+UNION ALL SELECT PIN, 1, 0, 'Zoning Requirements', 'Verify setback compliance', TRUE, 'Setbacks for ' || zone, sc, 'Front: ' || f || 'ft | Side: ' || s || 'ft | Rear: ' || r || 'ft' FROM j
+UNION ALL SELECT PIN, 1, 1, 'Zoning Requirements', 'Calculate lot coverage', TRUE, 'Maximum lot coverage', lc, 'Max ' || pct || '% of ' || format('{:,}', lot) || ' sq ft = ' || format('{:,}', floor(lot * (pct / 100.0::DOUBLE))::BIGINT) || ' sq ft' FROM j
+UNION ALL SELECT PIN, 2, 0, 'Tree Protection (SMC 25.11)', 'Complete tree inventory', TRUE, 'Document all trees ≥6" diameter', 'SMC 25.11.050', 'Property shows ' || canopy || '% canopy. Inventory required.' FROM j
+UNION ALL SELECT PIN, 3, 0, 'Required Permits', 'Building Permit', TRUE, 'Building permit application through Seattle Services Portal', 'SMC 22.801', 'Submit at cosaccela.seattle.gov/portal/' FROM j"""
 )
 
 
@@ -224,5 +207,3 @@ TO_NUMBER = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0
 _ALL = (address_norm, cascade_lookup, match_score, match_pick, property_record, rule_checklist, text_flags, falsy_or, to_number)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
-#: Queries over whole tables that have no SQL; tests hold them against plain Python.
-WHOLE = {f.__name__: f for f in (address_norm_all, cascade_lookup_all, match_score_all, match_pick_all, rule_checklist_all)}

@@ -87,15 +87,18 @@ def _hits(spark, d, query, limit):
 
 
 def fts_boolean(spark, d):
-    """The first 200 matches, as its SQL has them; ``fts_boolean_all`` has all."""
-    return _hits(spark, d, "(with OR for) NOT from", 200)
+    return _hits(spark, d, "(with OR for) NOT from", None)
 
 
-def fts_boolean_all(spark, d):
-    return _hits(spark, d, "(with OR for) NOT from", None)
+FTS_BOOLEAN = "WITH " + _TOKENS + "SELECT doc_id FROM documents WHERE doc_id IN (SELECT ord FROM tok WHERE term IN ('with', 'for')) AND doc_id NOT IN (SELECT ord FROM tok WHERE term = 'from')"
+
 
+def fts_precedence(spark, d):
+    """NOT binds closer than AND."""
+    return _hits(spark, d, "with NOT this AND for", None)
 
-FTS_BOOLEAN = "WITH " + _TOKENS + "SELECT doc_id FROM documents WHERE doc_id IN (SELECT ord FROM tok WHERE term IN ('with', 'for')) AND doc_id NOT IN (SELECT ord FROM tok WHERE term = 'from') ORDER BY doc_id LIMIT 200"
+
+FTS_PRECEDENCE = "WITH " + _TOKENS + "SELECT doc_id FROM documents WHERE doc_id IN (SELECT ord FROM tok WHERE term = 'with') AND doc_id IN (SELECT ord FROM tok WHERE term = 'for') AND doc_id NOT IN (SELECT ord FROM tok WHERE term = 'this')"
 
 
 def fts_phrase(spark, d):
@@ -113,15 +116,10 @@ FTS_PREFIX = _ranked_sql(["SELECT ord, COUNT(*) AS tf FROM tok WHERE starts_with
 
 
 def fts_near(spark, d):
-    """The first 200 matches, as its SQL has them; ``fts_near_all`` has all."""
-    return _hits(spark, d, "NEAR(with from, 3)", 200)
-
-
-def fts_near_all(spark, d):
     return _hits(spark, d, "NEAR(with from, 3)", None)
 
 
-FTS_NEAR = "WITH " + _TOKENS + "SELECT DISTINCT a.ord AS doc_id FROM tok a JOIN tok b ON a.ord = b.ord AND abs(a.pos - b.pos) - 1 <= 3 WHERE a.term = 'with' AND b.term = 'from' ORDER BY doc_id LIMIT 200"
+FTS_NEAR = "WITH " + _TOKENS + "SELECT DISTINCT a.ord AS doc_id FROM tok a JOIN tok b ON a.ord = b.ord AND abs(a.pos - b.pos) - 1 <= 3 WHERE a.term = 'with' AND b.term = 'from'"
 
 
 def _vectors(spark, d):
@@ -129,7 +127,7 @@ def _vectors(spark, d):
 
 
 def _asked(spark, d, every):
-    rows = read(spark, d, "embeddings").filter(F.col("vec_id") % every == 1)
+    rows = read(spark, d, "embeddings").filter(F.col("vec_id") % every == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
 
 
@@ -142,17 +140,17 @@ _RANKED = "SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS sc
 
 
 def vector_topk(spark, d):
-    return _top(vectors.search_many(_asked(spark, d, 250), _vectors(spark, d), 5, request_key="query_id"))
+    return _top(vectors.search_many(_asked(spark, d, 100), _vectors(spark, d), 5, request_key="query_id"))
 
 
-VECTOR_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 250 = 1) " + _RANKED.format(k=5)
+VECTOR_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) " + _RANKED.format(k=5)
 
 
 def vector_filtered_topk(spark, d):
-    return _top(vectors.search_many(_asked(spark, d, 250), _vectors(spark, d), 10, request_key="query_id", where=F.col("label").isin(1, 3)))
+    return _top(vectors.search_many(_asked(spark, d, 100), _vectors(spark, d), 10, request_key="query_id", where=F.col("label").isin(1, 3)))
 
 
-VECTOR_FILTERED_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 250 = 1 AND c.label IN (1, 3)) " + _RANKED.format(k=10)
+VECTOR_FILTERED_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.label IN (1, 3)) " + _RANKED.format(k=10)
 
 
 def evidence_fanout(spark, d):
@@ -161,7 +159,7 @@ def evidence_fanout(spark, d):
     return _top(vectors.search_many(asked, _vectors(spark, d), F.col("top_k"), request_key="query_id"))
 
 
-EVIDENCE_FANOUT = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 1) SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= floor(query_id / 100.0 % 4 + 1)"
+EVIDENCE_FANOUT = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= floor(query_id / 100.0 % 4 + 1)"
 
 
 def hybrid_gate(spark, d):
@@ -169,10 +167,10 @@ def hybrid_gate(spark, d):
     docs, index = _index(spark, d)
     gate = fulltext.candidates(docs, index, "with OR para", ["text"]).withColumnRenamed("ord", "_o")
     rows = _vectors(spark, d).join(gate, F.col("ord") == F.col("_o"), "left_semi")
-    return _top(vectors.search_many(_asked(spark, d, 250), rows, 5, request_key="query_id"))
+    return _top(vectors.search_many(_asked(spark, d, 100), rows, 5, request_key="query_id"))
 
 
-HYBRID_GATE = "WITH " + _TOKENS + f", g AS (SELECT DISTINCT ord FROM tok WHERE term IN ('with', 'para') ORDER BY ord LIMIT 200), s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 250 = 1 AND c.vec_id IN (SELECT ord FROM g)) " + _RANKED.format(k=5)
+HYBRID_GATE = "WITH " + _TOKENS + f", g AS (SELECT DISTINCT ord FROM tok WHERE term IN ('with', 'para') ORDER BY ord LIMIT 200), s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id IN (SELECT ord FROM g)) " + _RANKED.format(k=5)
 
 
 def l2_normalise(spark, d):
@@ -215,24 +213,17 @@ def _evidence(items, text):
 
 
 def evidence_prompt(spark, d):
-    """The rows and text prefixes that its SQL covers; ``evidence_prompt_all`` is the whole job."""
-    return _evidence(read(spark, d, "benchmark").filter("item_id < 30"), F.substring("text", 1, 300))
-
-
-def evidence_prompt_all(spark, d):
-    """All items with whole texts, which are shortened at words beyond SQL's means."""
+    """All items with whole texts."""
     return _evidence(read(spark, d, "benchmark"), F.col("text"))
 
 
-
 EVIDENCE_PROMPT = r"""
-WITH b AS (SELECT 'part ' || item_id % 3 AS label, item_id, '[' || CASE WHEN item_id % 2 = 0 THEN 'SMC ' || item_id ELSE 'c' || item_id END || '] ' || chr(10) || trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) AS p FROM benchmark WHERE item_id < 30),
+WITH c AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM benchmark),
+b AS (SELECT 'part ' || item_id % 3 AS label, item_id, '[' || CASE WHEN item_id % 2 = 0 THEN 'SMC ' || item_id ELSE 'c' || item_id END || '] ' || chr(10) || CASE WHEN length(t) <= 1200 THEN t ELSE regexp_replace(substr(t, 1, 1199), ' [^ ]*$', '') || ' …' END AS p FROM c),
 t AS (SELECT label, upper(label) || ':' || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY item_id) AS block FROM b GROUP BY label)
 SELECT label, length(block)::INTEGER AS n, md5(block) AS digest FROM t
 """
 
-_ALL = (fts_index, doc_stats, bm25_topk, bm25_filtered, bm25_gated, fts_boolean, fts_phrase, fts_prefix, fts_near, vector_topk, vector_filtered_topk, evidence_fanout, hybrid_gate, l2_normalise, mean_pool, citation_prefix, type_filter, evidence_prompt)
+_ALL = (fts_index, doc_stats, bm25_topk, bm25_filtered, bm25_gated, fts_boolean, fts_precedence, fts_phrase, fts_prefix, fts_near, vector_topk, vector_filtered_topk, evidence_fanout, hybrid_gate, l2_normalise, mean_pool, citation_prefix, type_filter, evidence_prompt)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
-#: Queries over whole tables that have no SQL; tests hold them against plain Python.
-WHOLE = {f.__name__: f for f in (fts_boolean_all, fts_near_all, evidence_prompt_all)}
