@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
+from lexmill.llm import suffix
 from lexmill.llm.suffix import merge_spans, multikey_quicksort, repeated_strings
 
 
@@ -56,6 +58,50 @@ def test_equals_brute_force(spark):
     assert repeated_strings(df.limit(0), spark).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 97])
+def test_grams_that_fill_buckets(spark, monkeypatch, buckets):
+    """One gram with many contexts is cut by splitters, and its strings meet across the boundaries; long bodies are sampled in chunks."""
+    monkeypatch.setattr(suffix, "CHUNK", 1000)  # executors fork from this process's modules only in part; the result is the same either way
+    rng, gram = random.Random(5), "the same leading words of many texts, "
+    tails = ["".join(rng.choice("xyz ") for _ in range(rng.randint(40, 90))) for _ in range(120)]
+    heads = ["".join(rng.choice("pq ") for _ in range(70)) for _ in range(12)]
+    rows = [(i, rng.choice(heads) + gram + rng.choice(tails) + str(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", buckets)
+    try:
+        assert rows_of(repeated_strings(df, spark)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_chunks_of_long_bodies(monkeypatch):
+    body = np.frombuffer("".join(random.Random(2).choice("abc") for _ in range(5000)).encode(), np.uint8)
+    bounds = np.array([0, 1700, 1750, 5000])
+    want = suffix.anchors(body, bounds)
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    got = suffix.anchors(body, bounds)
+    starts = lambda x: sorted((s, int(p)) for p, _, a, b in zip(*x, strict=True) for s in range(a, b + 1))
+    assert starts(got) == starts(want) and [s for s, _ in starts(got)] == [*range(1601), *range(1750, 4901)]
+
+
+def test_nothing_goes_without_the_sort(spark, monkeypatch):
+    """What decides is the sort: with an order that parts equal contexts and no comparison nothing is removed."""
+    rows = [(i, "a passage that several documents share, word for word, and that is long enough to be found by the search " * 2 + str(i)) for i in range(6)]
+    body = np.frombuffer(b"".join(t.encode() for _, t in rows), np.uint8)
+    bounds = np.cumsum([0, *(len(t) for _, t in rows)])
+    at, _, first, last = suffix.anchors(body, bounds)
+    text = np.searchsorted(bounds, at, "right") - 1
+    place = ((at - bounds[text]) << 16) | ((at - first) << 8) | (last - first)
+    _, _, left, right = suffix.unpack(place)
+    keys = np.concatenate([suffix.windows(body, at, right, suffix.RIGHT_WORDS), suffix.windows(body, at, left, suffix.LEFT_WORDS, True)], 1)
+    stay, covered = suffix.settle(keys, text, place)
+    assert len(covered) > len(stay) / 2 and len(stay) + len(covered) == len(at)
+    monkeypatch.setattr(suffix, "multikey_quicksort", lambda w: np.argsort(text, kind="stable"))
+    apart = suffix.settle(keys, text, place)
+    assert len(apart[1]) < len(covered)
+
+
 def test_corpus_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows_of(repeated_strings(docs, spark)) == brute([(r.doc_id, r.text) for r in docs.collect()])
