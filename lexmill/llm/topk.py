@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,13 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import table
 
-#: Vectors whose sorted lists a task holds at once, and queries that meet the table in one round.
-CHUNK, ROUND = 8192, 4096
+#: Rows that a task takes in before it searches them, vectors whose sorted lists it holds at once, and queries of one round.
+HELD, CHUNK, ROUND = 65_536, 8192, 8192
 SCALE = 1024
+DEPTHS = 8  # of the lists' reading: each doubles the one before, the last is the whole list
+EXACT = float(2**53)  # integers below it are exact in doubles
+
+log = logging.getLogger(__name__)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -33,49 +38,113 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield int(d), rows, flat[bounds[rows][:, None] + np.arange(d)]
 
 
+def box_and_ball(weights: np.ndarray, edges: np.ndarray, norm: float) -> float:
+    """The most that ``weights`` (not negative) times a vector can be whose components are at most ``edges`` and whose length is at most ``norm``."""
+    inside = float(edges @ edges)
+    if inside <= norm * norm or not weights.any():
+        return float(weights @ edges)
+    # The best vector follows the weights, cut at the edges: y = min(edge, factor * weight).
+    ratio = np.where(weights > 0, edges / np.maximum(weights, 1e-300), np.inf)
+    order = np.argsort(ratio)
+    e, w = edges[order], weights[order]
+    cut = np.concatenate([[0.0], np.cumsum(e * e)])[:-1]  # of those before, at their edges
+    rest = np.cumsum((w * w)[::-1])[::-1]
+    room = norm * norm - cut
+    factor = np.sqrt(np.maximum(room, 0) / np.maximum(rest, 1e-300))
+    fits = np.flatnonzero((factor <= ratio[order]) & (room >= 0))
+    if not len(fits):  # negative edges alone exceed the length: no such vector, but stay on the safe side
+        return float(weights @ edges)
+    i = int(fits[0])
+    return float(w[:i] @ e[:i] + factor[i] * rest[i])
+
+
 class Lists:
-    """The sorted lists of a block of vectors, one per dimension, and threshold searches in them."""
+    """The sorted lists of a block of vectors, one per dimension of a turned basis, and threshold searches in them.
+
+    The basis is that of the block's principal axes, in which variance falls as
+    fast as it can, so that few lists matter to a query. Inner products are the
+    same in it but for rounding, which ``slack`` covers; scores themselves are
+    computed on the integers.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")  # ascending; read backwards for positive weights
-        self.step = max(16, len(ids) // 128)
-
-    def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        self.norm = float(np.sqrt((x * x).sum(1).max(initial=0)))
+        self.axes = np.linalg.eigh(x.T @ x)[1] if np.isfinite(self.norm) and self.norm < EXACT else np.eye(x.shape[1])
+        self.y = x @ self.axes
+        self.order = np.argsort(self.y, axis=0, kind="stable")  # ascending; read backwards for positive weights
+        self.scored = self.asked = 0
+
+    def _exact(self, q: np.ndarray) -> np.ndarray:
+        """Scores as whole numbers of any size, cut to 64 bits."""
+        rows = [[int(v) for v in r] for r in self.x.tolist()]
+        own = [int(v) for v in q.tolist()]
+        top = 2**63 - 1
+        return np.array([max(-top - 1, min(top, sum(a * b for a, b in zip(r, own, strict=True)))) for r in rows], np.int64)
+
+    def search(self, q: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """``best``, (-score, id) in ascending order, with what this block adds.
 
-        All lists are read to the same depth, best values for the query first.
-        Whatever a list shows is scored in full at once. No vector that has not
-        been seen can score more than the values at the present depth do
-        together; when that bound is below the k-th score, the search ends. At a
-        bound equal to it an unseen vector could still tie, so it goes on.
+        The lists are read in steps of double depth, best values for the query
+        first, and deeper the more a list weighs. What a list shows is first
+        summed over the query's heavy dimensions; the rest is bounded by the two
+        remaining lengths, and only what can still reach the k-th score is scored
+        in full. No vector that has not been seen can score more than the values
+        at the present depths allow together, within the block's greatest length;
+        when that bound is below the k-th score, the search ends. At a bound
+        equal to it an unseen vector could still tie, so it goes on.
         """
-        n, dims = len(self.ids), np.flatnonzero(q)
-        seen, up = self.ids == own, q[dims] < 0
-        for a in range(0, n, self.step):
-            b = min(n, a + self.step)
-            if len(dims):
-                rows = np.concatenate([self.order[a:b, dims[up]].ravel(), self.order[n - b : n - a, dims[~up]].ravel()])
+        n = len(self.ids)
+        self.asked += n
+        length = float(np.sqrt(q @ q))
+        if not length * self.norm < EXACT:
+            found = self._exact(q)
+            self.scored += n
+            return sorted([*best, *((-int(s), int(i)) for s, i in zip(found, self.ids, strict=True) if i != own)])[:k]
+        slack = 1e-9 * length * self.norm + 1e-6
+        if len(best) >= k and length * self.norm + slack < -best[-1][0]:
+            return best
+        p = self.axes.T @ q
+        weights = np.abs(p)
+        by_weight = np.argsort(-weights, kind="stable")
+        energy = np.cumsum(weights[by_weight] ** 2)
+        heavy = by_weight[: int(np.searchsorted(energy, 0.9 * energy[-1])) + 1]
+        rest = float(np.sqrt(max(0.0, energy[-1] - energy[len(heavy) - 1])))
+        spread = weights * np.abs(self.y[self.order[-1], np.arange(len(p))] - self.y[self.order[0], np.arange(len(p))])
+        benefit = np.minimum(1.0, spread / max(float(spread.max(initial=0)), 1e-300))
+        seen, up = self.ids == own, p < 0
+        depths = np.zeros(len(p), np.int64)
+        for step in range(DEPTHS):
+            before, depths = depths, np.where(step == DEPTHS - 1, n, np.maximum(depths, np.ceil(n * benefit / 2 ** (DEPTHS - 1 - step)).astype(np.int64)))
+            if step == DEPTHS - 1:
+                new = ~seen
             else:
-                rows = np.arange(a, b)
-            new = np.zeros(n, bool)
-            new[rows] = True
-            new &= ~seen
+                new = np.zeros(n, bool)
+                for j in np.flatnonzero(depths > before):
+                    a, b = before[j], depths[j]
+                    new[self.order[a:b, j] if up[j] else self.order[n - b : n - a, j]] = True
+                new &= ~seen
             seen |= new
             at = np.flatnonzero(new)
+            if len(at) and len(best) >= k:
+                part = self.y[at][:, heavy]
+                left = np.sqrt(np.maximum((self.x[at] ** 2).sum(1) - (part * part).sum(1), 0))
+                at = at[part @ p[heavy] + rest * left + slack >= -best[-1][0]]
             if len(at):
+                self.scored += len(at)
                 scores = self.x[at] @ q
                 if len(best) >= k:
                     good = scores >= -best[-1][0]
-                    at, scores = at[good], scores[good]
                 elif len(at) > k:
                     good = scores >= np.partition(scores, -k)[-k]
-                    at, scores = at[good], scores[good]
-                if len(at):
-                    best = sorted([*best, *zip((-scores).tolist(), self.ids[at].tolist(), strict=True)])[:k]
-            if len(best) >= k and len(dims):
-                edge = np.where(up, self.order[b - 1, dims], self.order[n - b, dims])
-                if float(self.x[edge, dims] @ q[dims]) < -best[-1][0]:
+                else:
+                    good = np.ones(len(at), bool)
+                best = sorted([*best, *zip((-scores[good]).astype(np.int64).tolist(), self.ids[at[good]].tolist(), strict=True)])[:k]
+            if seen.all():
+                break
+            if len(best) >= k:
+                edges = np.where(up, -self.y[self.order[np.minimum(depths, n - 1), np.arange(len(p))], np.arange(len(p))], self.y[self.order[np.maximum(n - 1 - depths, 0), np.arange(len(p))], np.arange(len(p))])
+                if box_and_ball(weights, edges, self.norm) + slack < -best[-1][0]:
                     break
         return best
 
@@ -88,33 +157,45 @@ def _search(queries, k: int):
         def meet(d: int) -> None:
             ids, x = (np.concatenate(p) for p in zip(*held.pop(d), strict=True))
             if d in queries.value:
+                # Long vectors first: they raise the k-th score that shorter ones must reach.
+                order = np.argsort(-(x * x).sum(1), kind="stable")
+                ids, x = ids[order], x[order]
                 for a in range(0, len(ids), CHUNK):
                     lists = Lists(ids[a : a + CHUNK], x[a : a + CHUNK])
                     for q, weights in zip(*queries.value[d], strict=True):
                         best[d, q] = lists.search(weights, q, k, best.get((d, q), []))
+                    log.info("%d of %d vectors scored in full", lists.scored, lists.asked)
 
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
             for d, rows, x in matrices(batch):
-                held.setdefault(d, []).append((ids[rows], np.floor(x * SCALE)))
-                if sum(len(i) for i, _ in held[d]) >= CHUNK:
+                held.setdefault(d, []).append((ids[rows], scaled(x)))
+                if sum(len(i) for i, _ in held[d]) >= HELD:
                     meet(d)
         for d in list(held):
             meet(d)
         for (_, q), found in best.items():
             if found:
                 score, ids = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int64)), pa.array(ids, pa.int64()), pa.array((-np.array(score)).astype(np.int64))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int64)), pa.array(ids, pa.int64()), pa.array([-s for s in score], pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x), whole numbers in doubles; what would be beyond doubles is the greatest of them."""
+    top = np.finfo(float).max
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x * SCALE), -top, top)
+
+
 def exact_topk(vectors: DataFrame, spark: SparkSession, *, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for every row whose id is divisible by ``every``.
 
     Components become floor(1024 * x); the score is the integer inner product,
-    summed in doubles, which hold such integers exactly below 2**53. Ties go to
-    the smaller id. Rows with the query's own id are no candidates.
+    summed in doubles where lengths tell that all sums stay below 2**53, and else
+    in whole numbers of any size, cut to 64 bits at the end. Ties go to the
+    smaller id. Rows with the query's own id are no candidates.
 
     Queries come to the table in rounds of about ``ROUND`` (a hash of the id
     deals them out), so what is broadcast does not grow with the data. Each task
@@ -139,7 +220,7 @@ def exact_topk(vectors: DataFrame, spark: SparkSession, *, every: int = 100, k:
             ids, v = sets.setdefault(len(q["v"]), ([], []))
             ids.append(q["vec_id"])
             v.append(q["v"])
-        block = {d: (ids, np.floor(np.array(v) * SCALE)) for d, (ids, v) in sets.items()}
+        block = {d: (ids, scaled(np.array(v))) for d, (ids, v) in sets.items()}
         parts.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long"))
     found = parts[0]
     for p in parts[1:]:

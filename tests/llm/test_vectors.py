@@ -1,7 +1,7 @@
 import numpy as np
 
 from lexmill.llm.ann import adaptive_scan, nearest
-from lexmill.llm.topk import Lists, exact_topk
+from lexmill.llm.topk import Lists, box_and_ball, exact_topk, scaled
 
 INF, NAN = float("inf"), float("nan")
 
@@ -17,6 +17,59 @@ def test_threshold_search_equals_scan():
             assert lists.search(q, 0, k, []) == want
 
 
+def test_bound_holds():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        w, e = np.abs(rng.standard_normal(5)), rng.standard_normal(5) + 0.5
+        norm = float(np.linalg.norm(np.minimum(e, 0)) + rng.random() * 2)
+        bound = box_and_ball(w, e, norm)
+        y = np.minimum(e, rng.standard_normal((4000, 5)) * norm)
+        y = y[(y * y).sum(1) <= norm * norm]
+        assert not len(y) or (y @ w).max() <= bound + 1e-9
+
+
+def share_scored(x, queries, k=10):
+    """The share of vectors that searches score in full, each search checked against a scan."""
+    ids, blocks = np.arange(len(x)), [Lists(np.arange(a, min(a + 8192, len(x))), x[a : a + 8192]) for a in range(0, len(x), 8192)]
+    for i in queries:
+        best = []
+        for b in blocks:
+            best = b.search(x[i], i, k, best)
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        order = np.lexsort((ids, -scores))[:k]
+        assert best == [(-int(scores[j]), int(j)) for j in order]
+    return sum(b.scored for b in blocks) / (len(x) * len(queries))
+
+
+def test_search_stops_early():
+    """64 dimensions whose spread falls by a tenth each, as embeddings have it, in a random basis: a few per cent are scored."""
+    rng = np.random.default_rng(6)
+    turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    x = scaled((rng.standard_normal((20_000, 64)) * 0.9 ** np.arange(64)) @ turn)
+    share = share_scored(x, range(0, 20_000, 1000))
+    print("share scored in full, falling spread:", share)
+    assert share < 0.1
+
+
+def test_share_on_the_table(spark):
+    """The table's vectors have no such spread; there the two remaining lengths bound what the lists cannot."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    x = scaled(np.array([r.embedding for r in rows], np.float32).astype(float))
+    share = share_scored(x, range(0, len(x), 100))
+    print("share scored in full, sf0.1:", share)
+    assert share < 0.5
+
+
+def test_sums_beyond_doubles(spark):
+    rows = [(0, [1e15, 3.0, 1.0]), (1, [1e15, 1.0, 1.0]), (2, [1e15, 2.0, -1e3]), (3, [1e3, 1.0, 1.0]), (4, [-1e300, 1e300, 0.5])]
+    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark, k=4).collect()
+    ints = {i: [int(np.floor(v * 1024)) for v in x] for i, x in rows}
+    top = 2**63 - 1
+    want = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(ints[0], ints[i], strict=True)))), i) for i in (1, 2, 3, 4))
+    assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def test_adaptive_scan_keeps_the_nearest():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((4000, 64))
