@@ -12,21 +12,20 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import Workspace, free_name, lean, table, text_slices
 from lexmill.llm.shingles import mix, overlap, shingle_hashes, shingle_sets, word_hashes
 
-BANDS, ROWS = 32, 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 4e-8
-SAMPLES = BANDS * ROWS
+SAMPLES = 128  # MinHash values of a set
 BITS = 256  # of an odd sketch
-#: A pair whose sketches differ in more bits has an estimated similarity under 0.55: five standard errors below 0.8.
-MOST_BITS = 75
-#: A hot bucket's rows meet in blocks of so many.
-BLOCK = 4096
+#: A pair at the wanted similarity shares no band with this probability at most, and its sketches differ in more bits than allowed at five standard errors.
+MISSED, ERRORS = 1e-7, 5
+#: A contested group's rows meet in blocks of so many, or of so many shingles in all.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 #: Ids up to this number are broadcast to pick texts for confirmation; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
 _RNG = np.random.default_rng(7_919)
 _MUL = _RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-_ROW = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64)
+_ROW = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _SAMPLE = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 _SET = np.uint64(0xD1342543DE82EF95)
 
@@ -40,10 +39,27 @@ def minhashes(values: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(samples: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band for rows of samples; the band's number is hashed in."""
-    rows = samples.astype(np.uint64).reshape(len(samples), BANDS, ROWS)
-    return mix((rows * _ROW).sum(2, dtype=np.uint64) + _BAND)
+def rows_of_band(percent: int) -> int:
+    """The most rows a band can have at which a pair at the similarity is not missed; 4 for 80, so 32 bands."""
+    for rows in (8, 7, 6, 5, 4, 3, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (SAMPLES // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{SAMPLES} samples cannot find pairs that are {percent} per cent similar")
+
+
+def most_bits(percent: int) -> int:
+    """In how many bits the sketches of a pair at the similarity may differ."""
+    s = percent / 100
+    mean = BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - s) / BITS))
+    slope, share = 2 * SAMPLES * np.exp(-4 * SAMPLES * (1 - s) / BITS), mean / BITS
+    return int(mean + ERRORS * np.sqrt(BITS * share * (1 - share) + slope**2 * s * (1 - s) / SAMPLES))
+
+
+def bands(samples: np.ndarray, width: int) -> np.ndarray:
+    """One 64-bit key per band of ``width`` rows of samples; the band's number is hashed in."""
+    n = SAMPLES // width
+    rows = samples[:, : n * width].astype(np.uint64).reshape(len(samples), n, width)
+    return mix((rows * _ROW[:width]).sum(2, dtype=np.uint64) + _BAND[:n])
 
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
@@ -60,7 +76,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(left)
 
 
-def _sign(k: int):
+def _sign(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=2_000_000):
             hashes, bounds = shingle_hashes(*word_hashes(batch.column("text")), k)
@@ -71,8 +87,9 @@ def _sign(k: int):
                     own = np.unique(hashes[a:b])
                     sizes[i], samples[i] = len(own), minhashes(own)
                     h[0, i], h[1, i] = own.sum(), mix(own * _SET).sum()
-            keys, sketch = bands(samples).view(np.int64), odd_sketches(samples)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            keys, sketch = bands(samples, width).view(np.int64), odd_sketches(samples)
+            wide = keys.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * wide, wide, dtype=np.int32)), pa.array(keys.ravel()))
             blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), n, [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists, blob], ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
 
@@ -170,41 +187,39 @@ def _meet(percent: int):
 
 
 def _links(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
-    """A spanning set of the links between the components of one group: never more than one less than its rows.
+    """A spanning set of the links between a block of a group and a block of its rows outside the largest component.
 
-    Pairs that a link found earlier has joined need no look. Close sketches are
-    tried first.
+    There are never more links than components less one. Pairs that a link found
+    earlier has joined need no look. Close sketches are tried first.
     """
     t = pa.Table.from_batches(parts).combine_chunks()
-    size, ids, comp, salt, block, blocks = (t.column(c).to_numpy() for c in ("n_shingles", "id", "component", "salt", "block", "blocks"))
-    raw, column = t.column("sketch").to_pylist(), t.column("values")
+    size, ids, comp, outer = (t.column(c).to_numpy(zero_copy_only=False) for c in ("n_shingles", "id", "component", "outer"))
+    raw, column, most = t.column("sketch").to_pylist(), t.column("values"), most_bits(percent)
     sketch = np.frombuffer(b"".join(raw), np.uint64).reshape(len(size), BITS // 64)
-    order = np.lexsort((ids, size))
     names, root = np.unique(comp, return_inverse=True)
     out: list[tuple[int, int]] = []
-    if len(names) > 1:
-        size, ids, root, block, sketch = (x[order] for x in (size, ids, root, block, sketch))
-        sets: dict[int, np.ndarray] = {}
-
-        def values(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = np.frombuffer(column[int(order[i])].as_py(), np.uint64)
-            return sets[i]
-
-        first, second = divmod(int(salt[0]), int(blocks[0]))
-        for i in range(len(size)):
-            low = int(np.searchsorted(size, -(-int(size[i]) * percent // 100)))
-            near = (np.bitwise_count(sketch[low:i] ^ sketch[i]).sum(1) <= MOST_BITS) & (root[low:i] != root[i])
-            if first != second:  # each pair of blocks has a group of its own
-                near &= block[low:i] != block[i]
-            hit = low + np.flatnonzero(near)
-            for j in hit[np.argsort(np.bitwise_count(sketch[hit] ^ sketch[i]).sum(1), kind="stable")].tolist():
-                if root[i] == root[j]:
-                    continue
-                both = overlap(values(i), values(j))
-                if both and 100 * both >= percent * int(size[i] + size[j] - both):
-                    out.append((int(ids[i]), int(ids[j])))
-                    root[root == root[i]] = root[j]
+    sets: dict[int, np.ndarray] = {}
+
+    def values(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(column[i].as_py(), np.uint64)
+        return sets[i]
+
+    all_rows = np.flatnonzero(outer == 0)
+    all_rows = all_rows[np.lexsort((ids[all_rows], size[all_rows]))]
+    others = np.flatnonzero(outer == 1)
+    for i in others[np.lexsort((ids[others], size[others]))].tolist() if len(names) > 1 else []:
+        low, high = np.searchsorted(size[all_rows], -(-int(size[i]) * percent // 100)), np.searchsorted(size[all_rows], int(size[i]) * 100 // percent, "right")
+        own = all_rows[low:high]
+        apart = np.bitwise_count(sketch[own] ^ sketch[i]).sum(1)
+        near = np.flatnonzero((apart <= most) & (root[own] != root[i]))
+        for j in own[near[np.argsort(apart[near], kind="stable")]].tolist():
+            if root[i] == root[j]:
+                continue
+            both = overlap(values(i), values(j))
+            if both and 100 * both >= percent * int(size[i] + size[j] - both):
+                out.append((int(ids[i]), int(ids[j])))
+                root[root == root[i]] = root[j]
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -223,32 +238,39 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
        star, not all pairs. Sketches that are close enough go to confirmation
        on the full sets; confirmed links give components.
     3. Buckets that still hold several components are searched in full, with
-       their shingle sets, in blocks of bounded size: pairs of different
-       components whose sketches are close are confirmed inside the task, which
-       returns a spanning set of the links. So no link between components is
-       lost for meeting at the wrong leader, and what leaves a group of copies
-       is as many rows as it has members at most.
+       their shingle sets, in blocks of bounded size: every row outside a group's
+       largest component meets all rows of the group, and no two rows of that
+       component meet. Pairs of different components whose sketches are close
+       are confirmed inside the task, which returns a spanning set of the links.
+       So no link between components is lost for meeting at the wrong leader, and
+       what leaves a group of copies is as many rows as it has members at most.
+
+    The bands' width and the sketches' bound follow from ``percent``, which can
+    be 15 at least and 100 at most.
 
     Null and empty texts have no shingles and are linked with nothing. A null id
     keeps a null component and is kept. Rows that repeat an id are one node, with
     the links of all its texts. An empty table gives no rows; extra columns are
     ignored.
     """
+    if not 15 <= percent <= 100:
+        raise ValueError("percent must be from 15 to 100")
     space = Workspace(spark, "neardup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = space.save(rows.mapInArrow(lean(_sign(k)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
+    sig = space.save(rows.mapInArrow(lean(_sign(k, rows_of_band(percent))), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
     sets = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = space.save(sets.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
     rep = classes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "id")
     copies = sets.select("doc_id", "h1", "h2").join(rep, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     keys = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # Written, so that the join below is one of two shuffles, of which adaptive execution splits a hot key's.
+    buckets = space.save(keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
     members = space.save(keys.join(buckets, "key"), "members")
     traits = classes.select("id", "n_shingles", "sketch")
     star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     left, right = (traits.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    star = star.join(right, "b").join(left, "a").filter("n_a * 5 >= n_b * 4 AND n_b * 5 >= n_a * 4")
-    links = confirmed(star.mapInArrow(_close, "a long, b long"), rows, k, percent, space, "star")
+    star = star.join(right, "b").join(left, "a").filter(f"n_a * 100 >= n_b * {percent} AND n_b * 100 >= n_a * {percent}")
+    links = confirmed(star.mapInArrow(_close(percent), "a long, b long"), rows, k, percent, space, "star")
     label = components(links, space, "first")
     # Buckets with several components left; two members have met already.
     known = members.filter("members > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -256,18 +278,29 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
     apart = known.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("key")
     # Buckets of one leader meet as one group: bands of one family of texts mostly share it.
     group = space.save(known.join(apart, "key", "left_semi").select("leader", "id", "component").distinct(), "groups")
-    sizes = group.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = group.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    low, high = F.least("block", "_other"), F.greatest("block", "_other")
-    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("salt", low * F.col("blocks") + high)
+    group = group.join(traits, "id")
+    parts = group.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = parts.groupBy("leader").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("top"))
+
+    def blocks(n, s):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    sizes = sizes.select("leader", F.col("top.component").alias("top"), blocks(F.col("n"), F.col("s")).alias("many"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("few"))
+    sizes = space.save(sizes, "sizes")
+    placed = group.join(sizes, "leader")
+    own = F.xxhash64("id")
+    # Each block of all rows meets each block of those outside the largest component.
+    inner = placed.select("leader", "id", "component", "n_shingles", "sketch", "few", F.pmod(own, F.col("many").cast("long")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("y"), F.lit(0).alias("outer"))
+    outer = placed.filter("component <> top").select("leader", "id", "component", "n_shingles", "sketch", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)).alias("x"), F.pmod(own, F.col("few")).cast("int").alias("y"), F.lit(1).alias("outer"))
+    placed = inner.unionByName(outer).withColumn("salt", F.col("x") * F.col("few") + F.col("y"))
     ids = space.save(group.select("id").distinct(), "contested")
     few = ids.count() <= BROADCAST_IDS
     sets = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == ids["id"], "left_semi").mapInArrow(_sets(k), "doc_id long, values binary")
-    placed = placed.join(traits, "id").join(sets, F.col("id") == F.col("doc_id"))
+    placed = placed.join(sets, F.col("id") == F.col("doc_id"))
     # A repeated id may have texts of other sizes than the class it stands for.
     placed = placed.filter(F.octet_length("values") == F.col("n_shingles") * 8)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.select("leader", "salt", "id", "component", "block", "blocks", "n_shingles", "sketch", "values").repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt")
+    placed = placed.select("leader", "salt", "id", "component", "outer", "n_shingles", "sketch", "values").repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt")
     all_links = links.union(placed.mapInArrow(_meet(percent), "a long, b long"))
     label = components(all_links.union(copies), space, "final")
     out = sig.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
@@ -275,11 +308,16 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("s_a", "s_b"))
-        near = pa.array(np.bitwise_count(a ^ b).sum(1) <= MOST_BITS)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+def _close(percent: int):
+    most = most_bits(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("s_a", "s_b"))
+            near = pa.array(np.bitwise_count(a ^ b).sum(1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,3 +336,24 @@ def drop_near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, pe
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), spark, k=4)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+one AS (SELECT doc_id, UNNEST(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE x.n * 100 >= y.n * 80 AND y.n * 100 >= x.n * 80
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * COUNT(*) >= 80 * (x.n + y.n - COUNT(*))),
+pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, c) AS (SELECT DISTINCT a, a FROM pairs UNION SELECT pairs.b, reach.c FROM reach JOIN pairs ON pairs.a = reach.id WHERE reach.c < pairs.b),
+least AS (SELECT id, MIN(c) AS c FROM reach GROUP BY id)
+SELECT sizes.doc_id, n AS n_shingles, COALESCE(c, sizes.doc_id) AS component_id, COALESCE(c, sizes.doc_id) = sizes.doc_id AS kept
+FROM sizes LEFT JOIN least ON least.id = sizes.doc_id
+"""

@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_neardup": neardup.ORACLE,
     "op4_line_dedup": linedup.ORACLE,
     "op6_exact_topk": topk.ORACLE,
+    "op8_suffix_dedup": suffix.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -488,3 +488,25 @@ def _only(rows: DataFrame, lists: DataFrame, spark: SparkSession, space: Workspa
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(table(spark, sf_dir, "documents"), spark).drop("spans")
+
+
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+starts AS MATERIALIZED (SELECT doc_id, UNNEST(list_transform(range(len(t) // 2 - 99), lambda p: {'p': p, 's': substr(t, 2 * p + 1, 200)}), recursive := true) FROM docs WHERE len(t) >= 200),
+first AS (SELECT s, MIN((doc_id, p)) AS f FROM starts GROUP BY s HAVING COUNT(*) > 1),
+later AS (
+  SELECT doc_id, p FROM starts JOIN first ON starts.s = first.s WHERE (doc_id, p) <> f),
+edges AS (SELECT *, COALESCE(p > LAG(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, TRUE) AS opens FROM later),
+numbered AS (SELECT *, SUM(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM edges),
+runs AS (SELECT doc_id, run, MIN(p) AS a, MAX(p) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, run, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT doc_id, MAX(run) + 1, MAX(b), NULL FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT g.doc_id, string_agg(CASE WHEN g.b IS NULL THEN substr(t, 2 * g.a + 1) ELSE substr(t, 2 * g.a + 1, 2 * (g.b - g.a)) END, '' ORDER BY run) AS rest
+  FROM gaps g JOIN docs ON docs.doc_id = g.doc_id GROUP BY g.doc_id),
+spans AS (SELECT doc_id, SUM(b - a) AS n, COUNT(*) AS k FROM runs GROUP BY doc_id)
+SELECT docs.doc_id, (len(t) // 2)::BIGINT AS n_bytes, COALESCE(spans.n, 0)::BIGINT AS n_removed, COALESCE(spans.k, 0)::BIGINT AS n_spans,
+       sha256(unhex(COALESCE(rest, t))) AS kept_sha256
+FROM docs LEFT JOIN spans ON spans.doc_id = docs.doc_id LEFT JOIN kept ON kept.doc_id = docs.doc_id
+"""

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from lexmill.llm import neardup
 from lexmill.llm.neardup import drop_near_duplicates, near_duplicates
 
 
@@ -59,6 +62,31 @@ def test_equals_brute_force(spark):
     assert rows_of(near_duplicates(df, spark, k=4)) == brute(rows, 4, 80)
 
 
+@pytest.mark.parametrize("percent", [40, 60, 95])
+def test_other_similarities(spark, percent):
+    rows = fixture()
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(100)]
+    for c in range(40):
+        rows.append((20_000 + c, " ".join(w if rng.random() > 0.1 * (c % 3) else f"x{rng.randrange(10**6)}" for w in base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(near_duplicates(df, spark, k=1, percent=percent)) == brute(rows, 1, percent)
+
+
+def test_blocks_of_contested_groups(spark, monkeypatch):
+    """Groups of several blocks, of rows and of components outside the largest, keep every link."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rows = fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(near_duplicates(df, spark, k=4)) == brute(rows, 4, 80)
+
+
+def test_similarities_that_cannot_be_found(spark):
+    with pytest.raises(ValueError, match="percent"):
+        near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark, percent=5)
+    assert [neardup.rows_of_band(p) for p in (15, 60, 80, 100)] == [1, 2, 4, 8]
+
+
 def test_corpus_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows_of(near_duplicates(docs, spark, k=4)) == brute([(r.doc_id, r.text) for r in docs.collect()], 4, 80)
