@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, k: int = 5, percent
     known = members.filter("members > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     known = space.save(known, "known")
     apart = known.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("key")
+    apart = space.save(apart, "apart").hint("merge")  # both sides are shuffled, and a hot key's shuffle is split
     # Buckets of one leader meet as one group: bands of one family of texts mostly share it.
     group = space.save(known.join(apart, "key", "left_semi").select("leader", "id", "component").distinct(), "groups")
     group = group.join(traits, "id")
