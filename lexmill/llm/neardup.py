@@ -17,7 +17,7 @@ BITS = 256  # of an odd sketch
 #: A pair at the wanted similarity shares no band with this probability at most, and its sketches differ in more bits than allowed at five standard errors.
 MISSED, ERRORS = 1e-7, 5
 #: A contested group's rows meet in blocks of so many, or of so many shingles in all.
-BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Ids up to this number are broadcast to pick texts for confirmation; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
