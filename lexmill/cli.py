@@ -5,10 +5,8 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lexmill import pipeline
-from lexmill.operators import fulltext
 from lexmill.operators.retrieval import search_text
 from lexmill.sources.titles import read_pages
 
@@ -38,9 +36,7 @@ def main(argv: list[str] | None = None) -> int:
         for name, n in pipeline.run(spark, pages, args.titles, args.output, max_chars=args.max_chars).items():
             print(f"{name}: {n}")
         return 0
-    rows = spark.read.parquet(f"{args.store}/store")
-    rows = rows.withColumn("_o", F.struct("title_number", "ord", "chunk_id")).drop("ord").withColumnRenamed("_o", "ord")
-    index = fulltext.build_index(rows, "ord", ["chunk_id", "text"])
+    rows, index = pipeline.open_text(spark, args.store)
     found = search_text(spark, rows, index, args.query, title=args.title, citation=args.citation, limit=args.limit).collect()
     for r in found:
         print(f"{r['citation']}  {r['section_heading']}\n{r['title_label']}\n{r['text']}\n{'-' * 40}")

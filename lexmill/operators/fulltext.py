@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import fold
 
 K1, B = 1.2, 0.75
+#: Bytes of a row group of stored postings: small, so that a term reads little else.
+GROUP_BYTES = 4 << 20
 TOKENS = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -43,6 +45,29 @@ def build_index(df: DataFrame, ord_col: str, columns: list[str], accents: bool =
     return Index(postings, lengths, rows, total / rows if rows else 0.0)
 
 
+def write_index(df: DataFrame, ord_col: str, columns: list[str], path: str, accents: bool = True) -> None:
+    """Tokenises once and stores the index in the folder ``path``; a rebuild replaces it.
+
+    Postings are ranged and sorted by term and row, so that a search's terms pick
+    files and row groups by their statistics; a term that fills many is cut by
+    its rows. Lengths and the corpus numbers are small tables beside them.
+    """
+    spark = df.sparkSession
+    postings = tokenize(df, ord_col, columns, accents).select("term", "ord", "col", "pos")
+    ranged = postings.repartitionByRange("term", "ord").sortWithinPartitions("term", "ord", "col", "pos")
+    ranged.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
+    found = spark.read.parquet(f"{path}/postings")
+    found.groupBy("ord").agg(F.count(F.lit(1)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    numbers = df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(spark.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")))  # one row each
+    numbers.write.mode("overwrite").parquet(f"{path}/numbers")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index that ``write_index`` stored; nothing is read yet but the two corpus numbers."""
+    rows, total = spark.read.parquet(f"{path}/numbers").first()
+    return Index(spark.read.parquet(f"{path}/postings").select("ord", "col", "pos", "term"), spark.read.parquet(f"{path}/lengths"), rows, total / rows if rows else 0.0)
+
+
 class QueryError(ValueError):
     """The query does not parse."""
 

@@ -11,6 +11,10 @@ from lexmill.sources import chunks as store
 from lexmill.sources import titles as trees
 
 
+#: Columns of the full-text index.
+INDEXED = ["chunk_id", "text"]
+
+
 def extract(pages: DataFrame, number: int, following: int | None = None, label: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, title row) of one title; ``following`` defaults to the next number."""
     own = hierarchy.title_range(pages, number, number + 1 if following is None else following)
@@ -36,13 +40,30 @@ def run(spark: SparkSession, pages: DataFrame, titles: list[int], out: str, *, m
     made.write.mode("overwrite").parquet(f"{out}/chunks")
     found = spark.read.parquet(f"{out}/chunks")
     counts = store.write_chunks(found, f"{out}/chunks.jsonl") | store.write_store(found, f"{out}/store")
+    index_store(spark, out)
     store.write_vectors(vectors.encode(store.unique_chunks(found, need_text=True).select("chunk_id", "text"), "text", model), f"{out}/vectors")
     return counts
 
 
+def stored_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The store's chunks; their order is that of titles, then of the title, then of ids; rows without a place come last in their title."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{out}/store")
+    rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.lit(None).cast("int"))
+    order = F.struct("title_number", F.col("ord").isNull().alias("added"), "ord", "chunk_id")
+    return rows.withColumn("_o", order).drop("ord").withColumnRenamed("_o", "ord")
+
+
+def index_store(spark: SparkSession, out: str) -> None:
+    """Writes the full-text index of the store's ids and texts."""
+    fulltext.write_index(stored_rows(spark, out), "ord", INDEXED, f"{out}/index")
+
+
+def open_text(spark: SparkSession, out: str) -> tuple[DataFrame, fulltext.Index]:
+    """The store's chunks and their stored index."""
+    return stored_rows(spark, out), fulltext.open_index(spark, f"{out}/index")
+
+
 def open_store(spark: SparkSession, out: str, model=None) -> Retriever:
-    """A retriever over what ``run`` has written, with a full-text index over ids and texts."""
-    rows = spark.read.parquet(f"{out}/store")
-    rows = rows.withColumn("_o", F.struct("title_number", "ord", "chunk_id")).drop("ord").withColumnRenamed("_o", "ord")
-    index = fulltext.build_index(rows, "ord", ["chunk_id", "text"])
+    """A retriever over what ``run`` has written."""
+    rows, index = open_text(spark, out)
     return Retriever(spark, rows, store.read_vectors(spark, f"{out}/vectors"), index, model)

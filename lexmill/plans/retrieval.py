@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import compose, fulltext, vectors
 from lexmill.operators import retrieval as R
 from lexmill.plans.documents import read
+from lexmill.sources.folders import scratch
 
 _TOKENS = r"""
 tok AS (SELECT doc_id AS ord, UNNEST(range(len(ts)))::INTEGER AS pos, UNNEST(ts) AS term FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS ts FROM documents)),
@@ -15,9 +16,18 @@ corpus AS (SELECT (SELECT COUNT(*) FROM documents) AS n, (SELECT COUNT(*) FROM t
 """
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def _index(spark, d):
+    """The documents and their stored index, which the session's first search of a folder writes."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text", "lang", "source")
-    return docs, fulltext.build_index(docs, "ord", ["text"])
+    key = spark.sparkContext.applicationId, str(d)
+    if key not in _STORED:
+        path = scratch(spark, "postings")
+        fulltext.write_index(docs, "ord", ["text"], path)
+        _STORED[key] = path
+    return docs, fulltext.open_index(spark, _STORED[key])
 
 
 def _bm25(units: list[str]) -> str:
@@ -33,6 +43,42 @@ def _term(t: str) -> str:
     return f"SELECT ord, COUNT(*) AS tf FROM tok WHERE term = '{t}' GROUP BY ord"
 
 
+def index_build(spark, d):
+    """Builds the index anew and stores it: the corpus numbers."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
+    path = scratch(spark, "index")
+    fulltext.write_index(docs, "ord", ["text"], path)
+    return spark.read.parquet(f"{path}/numbers")
+
+
+INDEX_BUILD = "WITH " + _TOKENS + "SELECT (SELECT COUNT(*) FROM documents) AS rows, COUNT(*) AS tokens FROM tok"
+
+
+def fts_two_columns(spark, d):
+    """Ids and texts are indexed, and a column filter picks one; the citation falls back to the id."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("smc-"), F.col("lang"), F.lit("-"), F.col("doc_id")).alias("chunk_id"), "text")
+    docs = docs.withColumn("full_citation", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("SMC "), "ord"))).withColumn("section_heading", F.lit(None).cast("string")).withColumn("title_number", (F.col("ord") % 3).cast("int")).withColumn("title_label", F.lit("T")).withColumn("section_citation", F.lit("23.44"))
+    path = scratch(spark, "two")
+    fulltext.write_index(docs, "ord", ["chunk_id", "text"], path)
+    found = R.search_text(spark, docs, fulltext.open_index(spark, path), "chunk_id : es AND text : para", title=1, citation="23.", limit=30)
+    return found.select("chunk_id", "citation", "section_heading", "title_number", "title_label", F.round("rank", 6).alias("rank"))
+
+
+FTS_TWO_COLUMNS = r"""
+WITH tok AS (
+  SELECT doc_id AS ord, 'text' AS col, UNNEST(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM documents
+  UNION ALL SELECT doc_id, 'chunk_id', UNNEST(['smc', lang, doc_id::VARCHAR]) FROM documents),
+dl AS (SELECT ord, COUNT(*) AS dl FROM tok GROUP BY ord),
+corpus AS (SELECT (SELECT COUNT(*) FROM documents) AS n, (SELECT COUNT(*) FROM tok) / (SELECT COUNT(*) FROM documents) AS avgdl),
+u0 AS (SELECT ord, COUNT(*) AS tf FROM tok WHERE col = 'chunk_id' AND term = 'es' GROUP BY ord),
+u1 AS (SELECT ord, COUNT(*) AS tf FROM tok WHERE col = 'text' AND term = 'para' GROUP BY ord),
+s0 AS (SELECT ord, greatest(ln((n - c + 0.5) / (c + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM u0 JOIN dl USING (ord), corpus, (SELECT COUNT(*) AS c FROM u0)),
+s1 AS (SELECT ord, greatest(ln((n - c + 0.5) / (c + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM u1 JOIN dl USING (ord), corpus, (SELECT COUNT(*) AS c FROM u1))
+SELECT 'smc-' || lang || '-' || doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'SMC ' || doc_id ELSE 'smc-' || lang || '-' || doc_id END AS citation, '' AS section_heading, (doc_id % 3)::INTEGER AS title_number, 'T' AS title_label, round(-(s0.s + s1.s), 6) AS rank
+FROM documents JOIN s0 ON s0.ord = doc_id JOIN s1 ON s1.ord = doc_id WHERE doc_id % 3 = 1 ORDER BY s0.s + s1.s DESC, doc_id LIMIT 30
+"""
+
+
 def fts_index(spark, d):
     _, index = _index(spark, d)
     return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("ord").alias("df"), F.sum("pos").cast("long").alias("positions"))
@@ -224,6 +270,6 @@ t AS (SELECT label, upper(label) || ':' || chr(10) || string_agg(p, chr(10) || c
 SELECT label, length(block)::INTEGER AS n, md5(block) AS digest FROM t
 """
 
-_ALL = (fts_index, doc_stats, bm25_topk, bm25_filtered, bm25_gated, fts_boolean, fts_precedence, fts_phrase, fts_prefix, fts_near, vector_topk, vector_filtered_topk, evidence_fanout, hybrid_gate, l2_normalise, mean_pool, citation_prefix, type_filter, evidence_prompt)
+_ALL = (index_build, fts_two_columns, fts_index, doc_stats, bm25_topk, bm25_filtered, bm25_gated, fts_boolean, fts_precedence, fts_phrase, fts_prefix, fts_near, vector_topk, vector_filtered_topk, evidence_fanout, hybrid_gate, l2_normalise, mean_pool, citation_prefix, type_filter, evidence_prompt)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

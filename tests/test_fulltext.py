@@ -10,14 +10,16 @@ QUERIES = ["yard", "rear yard", "yard OR tree", "yard NOT tree", '"rear yard"',
 QUERIES += ["yard NOT tree AND permit", "yard AND permit NOT tree", "yard rear NOT tree NOT permit", "yard NOT tree OR permit", "- chunk_id : section", "- {text} : section", "text : (chunk_id : section OR yard)", "-text:(section OR yard)", "text : yard tree", "yard NOT (tree AND permit)", "{text} : (yard AND NEAR(tree permit, 4))"]
 
 
-def test_equals_fts5(spark):
+def test_equals_fts5(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, f"smc-{rng.randint(22, 23)}-section-{i}", " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 12)))) for i in range(1, 90)]
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(chunk_id, text)")
     db.executemany("INSERT INTO f(rowid, chunk_id, text) VALUES (?, ?, ?)", rows)
     df = spark.createDataFrame(rows, "ord int, chunk_id string, text string").cache()
-    index = fulltext.build_index(df, "ord", ["chunk_id", "text"])
+    fulltext.write_index(df, "ord", ["chunk_id", "text"], str(tmp_path / "index"))
+    index, plain = fulltext.open_index(spark, str(tmp_path / "index")), fulltext.build_index(df, "ord", ["chunk_id", "text"])
+    assert (index.rows, index.mean_length) == (plain.rows, plain.mean_length) and sorted(index.postings.collect()) == sorted(plain.postings.collect())
     index.postings = index.postings.cache()
     for q in QUERIES:
         got = {r.ord: r["rank"] for r in fulltext.match(index, fulltext.parse(q, ["chunk_id", "text"])).collect()}

@@ -4,7 +4,7 @@ import pytest
 from test_hierarchy import PAGES
 
 from lexmill import pipeline
-from lexmill.operators import compose
+from lexmill.operators import compose, fulltext
 from lexmill.sources import chunks as store
 from lexmill.sources import titles as trees
 from lexmill.streaming.ingest import ingest
@@ -52,9 +52,23 @@ def test_chunk_files(spark, tmp_path):
 
 def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.json").write_text(line("a") + "\n" + line("b") + "\n")
+    (tmp_path / "in/1.json").write_text(line("a") + "\n{broken\n" + line("b") + "\n")
     args = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "check")
     ingest(spark, *args).awaitTermination()
     (tmp_path / "in/2.json").write_text(line("b", text="again") + "\n" + line("c") + "\n")
     ingest(spark, *args).awaitTermination()
     assert sorted((r.chunk_id, r.text) for r in spark.read.parquet(args[1]).collect()) == [("a", "t"), ("b", "t"), ("c", "t")]
+    assert [r.line for r in spark.read.parquet(args[1] + "_rejected").collect()] == ["{broken"]
+
+
+def test_ingest_into_a_store(spark, tmp_path):
+    """What a stream adds to a store that the pipeline wrote is found there after the index is written again."""
+    pages = spark.createDataFrame(PAGES, "page_number int, text string")
+    pipeline.run(spark, pages, [23], str(tmp_path / "s"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text(line("smc-new", text="a chimney of brick") + "\n")
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "s/store"), str(tmp_path / "check")).awaitTermination()
+    pipeline.index_store(spark, str(tmp_path / "s"))
+    rows, index = pipeline.open_text(spark, str(tmp_path / "s"))
+    assert [r.chunk_id for r in fulltext.search(spark, rows, index, "chimney", pipeline.INDEXED).collect()] == ["smc-new"]
+    assert index.rows == 5
