@@ -7,14 +7,40 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import scalars as S
 
-#: Zone, front, side and rear setbacks in feet, their code, coverage in per cent, its code, kind and feet of the height limit.
+#: Zone, front, side and rear setbacks in feet, their code, coverage in per cent, its code, and the feet of the height limits: standard or flat roof, and pitched roof where it differs.
 ZONES = [
-    ("SF 5000", 20, 5, 25, "SMC 23.44.014", 35, "SMC 23.44.012", "flat roof", 30),
-    ("SF 7200", 20, 5, 25, "SMC 23.44.014", 35, "SMC 23.44.012", "flat roof", 30),
-    ("LR1", 10, 5, 15, "SMC 23.45.514", 60, "SMC 23.45.512", "standard", 30),
+    ("SF 5000", 20, 5, 25, "SMC 23.44.014", 35, "SMC 23.44.012", 30, 35),
+    ("SF 7200", 20, 5, 25, "SMC 23.44.014", 35, "SMC 23.44.012", 30, 35),
+    ("LR1", 10, 5, 15, "SMC 23.45.514", 60, "SMC 23.45.512", 30, None),
+]
+#: Tiers of trees by diameter, what protects them, and the code; replacement ratios; inventory; permits.
+TREE_TIERS = [
+    ("tier1", 'Exceptional trees (≥24" diameter, or 30" for certain species)', "Must be protected unless hazardous or emergency", "SMC 25.11.020, SMC 25.11.070"),
+    ("tier2", 'Significant trees (12"-24" diameter)', "May not be removed unless hazardous, emergency, or for allowed development", "SMC 25.11.070, SMC 25.11.080"),
+    ("tier3", 'Trees 6"-12" diameter', "May be removed or protected at owner option", "SMC 25.11.080"),
+]
+REPLACEMENT = [("under 12 inches", 1, "SMC 25.11.090"), ("12 to 24 inches", 2, "SMC 25.11.090"), ("over 24 inches", 3, "SMC 25.11.090")]
+INVENTORY = (6, "4.5 feet above ground (diameter at breast height)", "SMC 25.11.050")
+PERMITS = [
+    ("building", "Building permit application through Seattle Services Portal", "SMC 22.801"),
+    ("tree removal", "Tree Removal and Replacement Plan", "SMC 25.11.060"),
 ]
 DEFAULT_ZONE = "SF 5000"
-ZONE_SCHEMA = "zone string, front_ft int, side_ft int, rear_ft int, setback_code string, max_lot_pct int, lot_code string, height_kind string, height_ft int"
+ZONE_SCHEMA = "zone string, front_ft int, side_ft int, rear_ft int, setback_code string, max_lot_pct int, lot_code string, height_ft int, pitched_ft int"
+
+
+def code_reference() -> dict:
+    """All rules as one document, which a prompt can hold."""
+    names = [c.split()[0] for c in ZONE_SCHEMA.split(", ")]
+    return {
+        "zoning": {z[0]: dict(zip(names[1:], z[1:], strict=True)) for z in ZONES},
+        "trees": {
+            "tiers": {t: {"description": d, "protection": p, "code": c} for t, d, p, c in TREE_TIERS},
+            "replacement": {size: {"ratio": n, "code": c} for size, n, c in REPLACEMENT},
+            "inventory": dict(zip(("inches", "measured", "code"), INVENTORY, strict=True)),
+        },
+        "permits": {name: {"description": d, "code": c} for name, d, c in PERMITS},
+    }
 
 
 def zone_rules(spark: SparkSession) -> DataFrame:
@@ -54,8 +80,8 @@ def checklist(df: DataFrame) -> DataFrame:
                 item("Verify setback compliance", F.concat(F.lit("Setbacks for "), "zone_classification"), r["setback_code"], F.format_string("Front: %dft | Side: %dft | Rear: %dft", r["front_ft"], r["side_ft"], r["rear_ft"])),
                 item("Calculate lot coverage", F.lit("Maximum lot coverage"), r["lot_code"], F.format_string("Max %d%% of %s sq ft = %s sq ft", r["max_lot_pct"], F.format_number("lot_size_sqft", 0), F.format_number(most, 0))),
             ),
-            category("Tree Protection (SMC 25.11)", item("Complete tree inventory", F.lit('Document all trees ≥6" diameter'), F.lit("SMC 25.11.050"), F.format_string("Property shows %d%% canopy. Inventory required.", "canopy_coverage"))),
-            category("Required Permits", item("Building Permit", F.lit("Building permit application through Seattle Services Portal"), F.lit("SMC 22.801"), F.lit("Submit at cosaccela.seattle.gov/portal/"))),
+            category("Tree Protection (SMC 25.11)", item("Complete tree inventory", F.lit('Document all trees ≥6" diameter'), F.lit(INVENTORY[2]), F.format_string("Property shows %d%% canopy. Inventory required.", "canopy_coverage"))),
+            category("Required Permits", item("Building Permit", F.lit(PERMITS[0][1]), F.lit(PERMITS[0][2]), F.lit("Submit at cosaccela.seattle.gov/portal/"))),
         ),
     )
 
