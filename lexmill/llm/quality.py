@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import crc_remainder, free_name, lean, least_hashes, release, table, text_slices
 from lexmill.llm.shingles import _BLANK, column_bytes, word_hashes
 
-#: The field is fitted on at most so many labelled documents, those with the least hashes of their ids.
-SAMPLE_DOCS = 4000
+#: The field is fitted on at most so many labelled documents, those with the least hashes of their ids, and on so many lines in all.
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 400_000
 THRESHOLD = 0.3
 L2 = 1e-3
 
@@ -190,17 +190,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), flat, lens], ["label", "x", "length"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample_docs: int = SAMPLE_DOCS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model | None:
     """A model from labelled documents outside the held-out fold, or None where there are none.
 
     Labels are taken by id: null ids and null labels teach nothing, and of
-    several labels of an id the least counts.
+    several labels of an id the least counts. What comes to the driver is bounded
+    by ``sample_docs`` and ``sample_lines``: documents are left out, from the
+    greatest hash on and the longest first among those that alone hold more than
+    a hundredth of the lines, until the rest have no more lines than that.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_remainder(id_col, folds) != held_fold))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     known = least_hashes(known, ["_id"], sample_docs)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    taught = rows.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "text", "label")
+    taught = rows.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "text", "label", F.xxhash64("_id").alias("_h"))
+    # Ids and numbers of lines first: a few thousand rows without texts.
+    sizes = taught.groupBy("_id", "_h").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1).alias("n")).collect()
+    if sum(r["n"] for r in sizes) > sample_lines:
+        room, kept = sample_lines, []
+        for r in sorted(sizes, key=lambda r: (r["n"] > sample_lines // 100, r["_h"])):
+            if r["n"] <= room:
+                room -= r["n"]
+                kept.append(r["_id"])
+        taught = taught.filter(F.col("_id").isin(kept))
     found = taught.mapInArrow(_features, "label int, x binary, length binary").collect()
     if not found:
         return None

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from lexmill.llm import quality
 from lexmill.llm.quality import WIDTH, keep_good, line_features, marginals, score_documents, train
 
 
@@ -54,3 +55,34 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert {r.score for r in score_documents(odd, None, spark).collect()} == {0.5}
     assert train(docs.limit(0), labels) is None and train(docs, labels.limit(0)) is None
     assert score_documents(odd.limit(0), model, spark).count() == 0
+
+
+def test_scores_equal_enumeration(spark):
+    """The query's score of short texts by enumerating all labellings of their lines, weighing by length, and the logistic."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    m = train(docs, labels)
+    texts = ["one line of plain words.", "BUY!! ### $$$\nplain words follow here, some more\n\n#1 #2 #3 #4", "a\nb\nc\nd\ne\nf", "", None, "Ünï cödé\nx x x x x x"]
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m, spark).collect()}
+    for i, t in enumerate(texts):
+        x, _, _ = line_features(pa.array([t], pa.string()))
+        lines, s = (t or "").split("\n"), x @ m.weights
+        weights = {y: np.exp(m.start * y[0] + sum(a * b for a, b in zip(s, y, strict=True)) + sum(m.trans[u, v] for u, v in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=len(lines))}
+        z, sizes = sum(weights.values()), [len(line.encode()) + 1 for line in lines]
+        good = [sum(w for y, w in weights.items() if y[j]) / z for j in range(len(lines))]
+        share = sum(g * n for g, n in zip(good, sizes, strict=True)) / sum(sizes)
+        assert abs(got[i] - 1 / (1 + np.exp(-(m.bias + m.slope * (share - 0.5))))) < 1e-9
+
+
+def test_sample_is_bounded_in_lines(spark, monkeypatch):
+    """Very long labelled documents are left out first; the rest still teach."""
+    seen = []
+    monkeypatch.setattr(quality, "Model", lambda x, length, lines, label: seen.append((len(lines) - 1, len(x))))
+    rows = [(i, "word and word.\n" * (5000 if i % 10 == 3 else i % 7 + 1)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    train(docs, labels, sample_lines=600)
+    documents, lines = seen[0]
+    assert lines <= 600 and documents > 90
+    train(docs, labels, sample_lines=10**6)
+    assert seen[1][0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
