@@ -84,7 +84,7 @@ class Coder:
         if magic != MAGIC or zlib.crc32(body) != body_crc:
             raise ValueError("damaged block: its payload has another checksum")
         if self.slots is None:
-            self.slots = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq.astype(np.int64))
+            self.slots = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 65536 else np.int32), self.freq.astype(np.int64))
         wide, steps = 8 * lanes, -(-n // lanes)
         state, at = np.frombuffer(body, "<u8", lanes).copy(), 0
         words = np.frombuffer(body, "<u4", n_words, wide + points * (wide + 4))

@@ -48,11 +48,13 @@ class TextEncoder:
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), memo_words
         self.model, self.bytes = self.tokenizer.model, _byte_letters()
         self.space = self.bytes[32]
+        self.letters = Tokenizer(self.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(self.space)]] = True
         self.memo: dict = {}  # a piece after a space is a str, one at the start of a text a 1-tuple
@@ -127,19 +129,25 @@ class TextEncoder:
             ids = [*ids, *self._end("\n"), *self._word(x, False)]
         return self._add(ids)
 
+    def _join(self, extra: dict, keys: list[str], tokenizer, lead: str) -> None:
+        if not keys:
+            return
+        texts = [f" {lead}" + f" {lead}".join(keys[a : a + JOINED]) for a in range(0, len(keys), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        heads = np.flatnonzero(self.opens[ids])
+        if len(heads) == len(keys) and heads[0] == 0:
+            extra.update(zip(keys, range(self.n, self.n + len(keys)), strict=True))
+            self._extend(ids, np.diff(np.append(heads, len(ids))))
+
     def _fill(self, extra: dict) -> None:
         """Indexes of new pieces. Those after a space are joined by spaces again and encoded by the library in a few calls.
 
         The token that holds a piece's space opens it, and no other token has one.
         """
         plain = [k for k in extra if k.__class__ is str and k and k[0] not in _BLANKS and k[-1] not in _BLANKS]
-        if plain:
-            texts = [" " + " ".join(plain[a : a + JOINED]) for a in range(0, len(plain), JOINED)]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-            heads = np.flatnonzero(self.opens[ids])
-            if len(heads) == len(plain) and heads[0] == 0:
-                extra.update(zip(plain, range(self.n, self.n + len(plain)), strict=True))
-                self._extend(ids, np.diff(np.append(heads, len(ids))))
+        # ASCII letters are one word each in any case, so these need no pattern, only the model.
+        self._join(extra, [k for k in plain if k.isascii() and k.isalpha()], self.letters, self.space)
+        self._join(extra, [k for k in plain if not (k.isascii() and k.isalpha())], self.tokenizer, "")
         for key, at in extra.items():
             if at is None:
                 extra[key] = self._new(key)
