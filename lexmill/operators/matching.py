@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import scalars as S
 
 ROWS_PER_ATTEMPT = 10
+GRAM = 4  # characters that lookups without a house number meet by
 LEAST_SCORE = 40
 DATA_SOURCE = "parcel address table"
 
@@ -26,25 +27,36 @@ def lookup(requests: DataFrame, parcels: DataFrame, city: str = "SEATTLE") -> Da
     """Candidates of each request: the rows of the first attempt that finds any, ten at most, by full address.
 
     1. full address begins with the request's (and has its number); 2. number and
-    first street word; 3. street anywhere; 4. number alone; for a blank request any. Attempts with a house
-    number are equi-joins on it. The contains attempt has no key: requests, which
-    are what users type, are broadcast for it alone.
+    first street word; 3. street anywhere; 4. number alone; for a blank request any.
+
+    Requests that ask for the same are looked up once. All attempts are
+    equi-joins: on the house number, on the first GRAM characters of the address,
+    or on the first GRAM characters of the street among all such pieces of the
+    address. Only texts of fewer characters meet every row, and of these there
+    can be no more than characters allow.
     """
     p = parcels.filter(F.upper("CTYNAME") == city).withColumn("_full", F.upper("ADDR_FULL")).withColumn("_num", F.col("ADDR_NUM").cast("string"))
-    numbered = requests.filter(F.col("number").isNotNull()).join(p, F.col("number") == F.col("_num"))
-    starts = F.col("_full").startswith(F.col("norm"))
+    asked = requests.select(F.col("norm").alias("_norm"), "number", "street", "word").distinct()
+    numbered = asked.filter(F.col("number").isNotNull()).join(p, F.col("number") == F.col("_num"))
+    starts, holds = F.col("_full").startswith(F.col("_norm")), F.col("_full").contains(F.col("street"))
     first = numbered.filter(starts).withColumn("attempt", F.lit(1))
     second = numbered.filter((F.col("word") != "") & F.col("_full").startswith(F.concat_ws(" ", "number", "word"))).withColumn("attempt", F.lit(2))
     fourth = numbered.withColumn("attempt", F.lit(4))
-    loose = F.broadcast(requests.filter(F.col("street") != "")).join(p, F.col("_full").contains(F.col("street")))
-    third = loose.withColumn("attempt", F.lit(3))
-    bare = F.broadcast(requests.filter(F.col("number").isNull() & (F.col("norm") != ""))).join(p, starts).withColumn("attempt", F.lit(1))
-    blank = F.broadcast(requests.filter(F.col("norm") == "")).join(p, F.col("_full").contains(" ")).withColumn("attempt", F.lit(5))
-    found = reduce(DataFrame.unionByName, [first, bare, second, third, fourth, blank])
-    w = Window.partitionBy("request")
-    found = found.withColumn("_first", F.min("attempt").over(w)).filter(F.col("attempt") == F.col("_first"))
-    order = Window.partitionBy("request").orderBy("ADDR_FULL", "PIN")
-    return found.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= ROWS_PER_ATTEMPT).drop("_first", "_full", "_num")
+    head = lambda c: F.substring(c, 1, GRAM)
+    bare = asked.filter(F.col("number").isNull() & (F.length("_norm") >= GRAM)).join(p, head("_norm") == head("_full")).filter(starts).withColumn("attempt", F.lit(1))
+    pieces = p.filter(F.length("_full") >= GRAM).withColumn("_piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_full") - GRAM + 1), lambda i: F.substr("_full", i, F.lit(GRAM))))))
+    third = asked.filter(F.length("street") >= GRAM).join(pieces, head("street") == F.col("_piece")).filter(holds).drop("_piece").withColumn("attempt", F.lit(3))
+    short = lambda c: (F.length(c) > 0) & (F.length(c) < GRAM)
+    bare_short = F.broadcast(asked.filter(F.col("number").isNull() & short("_norm"))).join(p, starts).withColumn("attempt", F.lit(1))
+    third_short = F.broadcast(asked.filter(short("street"))).join(p, holds).withColumn("attempt", F.lit(3))
+    blank = F.broadcast(asked.filter(F.col("_norm") == "").limit(1)).join(p, F.col("_full").contains(" ")).withColumn("attempt", F.lit(5))
+    found = reduce(DataFrame.unionByName, [first, bare, bare_short, second, third, third_short, fourth, blank])
+    # The row number within the attempts in order, at most ten of each: a bound that tasks apply before the shuffle.
+    order = Window.partitionBy("_norm").orderBy("attempt", "ADDR_FULL", "PIN")
+    found = found.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= ROWS_PER_ATTEMPT)
+    best = F.min("attempt").over(Window.partitionBy("_norm"))
+    found = found.withColumn("_first", best).filter(F.col("attempt") == F.col("_first")).drop("_first", "_full", "_num", "number", "street", "word")
+    return requests.join(found, F.col("norm") == F.col("_norm")).drop("_norm")
 
 
 def score(found: DataFrame) -> DataFrame:
