@@ -8,10 +8,11 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 BATCH = 64
-#: Requests that meet a table in one round.
-ROUND = 2000
+#: Requests that meet a table in one round, rows that are scored together, scores that are held at a time.
+ROUND, BLOCK, CELLS = 8192, 4096, 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,20 +65,147 @@ def encode(df: DataFrame, text: str, model: Callable = None, out: str = "embeddi
     return df.withColumn(out, udf(F.col(text)))
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """All rows as the Arrow bytes of one row."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        held = list(batches)
+        if held:
+            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), held[0].schema) as out:
+                for b in held:
+                    out.write_batch(b)
+            yield pa.RecordBatch.from_pydict({"_asked": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return df.repartition(1).mapInArrow(pack, "_asked binary")
+
+
+def _matrices(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length of vectors: their rows and their values. A vector that is null or holds null has none."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    flat, at = column.values.slice(at[0], at[-1] - at[0]), at - at[0]
+    size = np.where(np.asarray(column.is_valid()), np.diff(at), -1)
+    if flat.null_count:
+        size[np.searchsorted(at, np.flatnonzero(np.asarray(flat.is_null())), "right") - 1] = -1
+    values = flat.cast("double", safe=False).fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(size[size >= 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        out[n] = rows, values[at[rows][:, None] + np.arange(n)]
+    return out
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, summed in the order of the components as ``dot`` does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _best(a: np.ndarray, b: np.ndarray, most: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``request, row, score`` of the best rows of each request that beat its ``floor``, which rises to the last of as many.
+
+    A matrix product tells which pairs can be among them within its rounding
+    error; only these are summed exactly. Of equal scores the earlier row counts,
+    NaN is above all numbers, and what is not finite is always summed.
+    """
+    width, longest = a.shape[1], np.sqrt((b * b).sum(1)).max()
+    approx = a @ b.T
+    error = 4 * (width + 2) * np.finfo(float).eps * np.sqrt((a * a).sum(1)) * longest + 1e-300
+    low = floor.copy()
+    fresh = np.flatnonzero(np.isneginf(floor))
+    if len(fresh) and len(b) > most:
+        low[fresh] = np.partition(approx[fresh], len(b) - most, axis=1)[:, len(b) - most] - error[fresh]
+    q, r = np.nonzero(~(approx < (low - error)[:, None]) | ~np.isfinite(approx))
+    score = _exact(a[q], b[r])
+    beats = ~(score <= floor[q]) | np.isneginf(floor[q])
+    q, r, score = q[beats], r[beats], score[beats]
+    order = np.lexsort((r, -score, ~np.isnan(score), q))
+    q, r, score = q[order], r[order], score[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    last = place == most - 1
+    rises = np.where(np.isnan(score[last]), np.inf, score[last])
+    floor[q[last]] = np.maximum(floor[q[last]], rises)
+    return q[place < most], r[place < most], score[place < most]
+
+
+def _meet(vector: str, query: str, asked_columns: list[str], most: int):
+    def run(batches):
+        import pyarrow as pa
+
+        asked = None
+        for batch in batches:
+            first = batch.column("_asked")
+            if asked is None:
+                blob = first.drop_null()
+                asked = pa.ipc.open_stream(blob[0].as_buffer()).read_all().combine_chunks().select(asked_columns).to_batches()[0]
+                wanted = _matrices(asked.column(query))
+                floor, seen = np.full(asked.num_rows, -np.inf), np.zeros(asked.num_rows, np.int64)
+            rows, found = batch.select([c for c in batch.schema.names if c != "_asked"]), []
+            for at in range(0, rows.num_rows, BLOCK):
+                part = rows.slice(at, BLOCK)
+                held = _matrices(part.column(vector))
+                none = {n: np.setdiff1d(np.arange(part.num_rows), held[n][0]) for n in held}
+                for n, (ids, a) in wanted.items():
+                    if n not in held:
+                        continue
+                    theirs, b = held[n]
+                    step = max(1, CELLS // len(b))
+                    for k in range(0, len(ids), step):
+                        own = floor[ids[k : k + step]]
+                        q, r, score = _best(a[k : k + step], b, most, own)
+                        floor[ids[k : k + step]] = own
+                        found.append((ids[k + q], theirs[r] + at, score))
+                # Rows without a score come last, and only where too few have one.
+                scored = np.zeros(asked.num_rows, np.int64)
+                lacks = np.full(asked.num_rows, -1, np.int64)
+                for n, (ids, _) in wanted.items():
+                    scored[ids], lacks[ids] = len(held[n][0]) if n in held else 0, n
+                seen += scored
+                for i in np.flatnonzero(seen < most).tolist():
+                    blank = none.get(int(lacks[i]), np.arange(part.num_rows))[:most]
+                    found.append((np.full(len(blank), i), blank + at, np.full(len(blank), -np.inf)))
+                    found[-1] = (*found[-1], True)
+            if not found:
+                continue
+            q, r, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+            blank = np.concatenate([np.full(len(f[0]), len(f) > 3) for f in found])
+            for at in range(0, len(q), BLOCK):
+                cut = slice(at, at + BLOCK)
+                left, right = rows.take(pa.array(r[cut])), asked.take(pa.array(q[cut]))
+                yield pa.RecordBatch.from_arrays([*left.columns, *right.columns, pa.array(score[cut], mask=blank[cut])], names=[*left.schema.names, *right.schema.names, "score"])
+
+    return run
+
+
 def search_many(requests: DataFrame, vectors: DataFrame, k: int | Column, *, request_key: str = "label", order: str = "ord", where: Column | None = None) -> DataFrame:
     """The k best rows per request by inner product, exact, for many requests in one job.
 
     ``requests`` (``label, query_vector``) meet the table in rounds of at most
     about ROUND, dealt out by a hash, so what is broadcast does not grow with
-    them. The table's filters and columns are pushed into the scan, and at most
-    the largest k rows per request leave each task, also where ``k`` is a column.
+    them: a round's requests are one row of bytes, which each task's first row
+    brings to it. The table's filters and columns are pushed into the scan. A task
+    scores its rows in order by matrix products and keeps per request the score
+    that a further row has to beat, so few rows more than the largest k leave it.
     """
     rows = vectors if where is None else vectors.filter(where)
     rounds = max(1, -(-requests.count() // ROUND))
     most = k if isinstance(k, int) else requests.agg(F.max(k)).first()[0] or 0
     dealt = F.pmod(F.xxhash64(F.col(request_key)), F.lit(rounds))
-    scored = reduce(DataFrame.unionByName, [rows.join(F.broadcast(requests.filter(dealt == r) if rounds > 1 else requests)) for r in range(rounds)])
-    scored = scored.withColumn("score", dot(F.col("embedding"), F.col("query_vector")))
+    schema = StructType([*rows.schema.fields, *requests.schema.fields, StructField("score", DoubleType())])
+    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0
+    marked = rows.repartition(order).sortWithinPartitions(order).withColumn("_first", first)
+    run = _meet("embedding", "query_vector", requests.columns, max(0, int(most)))
+
+    def met(own: DataFrame) -> DataFrame:
+        brought = marked.join(F.broadcast(_packed(own)))
+        return brought.withColumn("_asked", F.when(F.col("_first"), F.col("_asked"))).drop("_first").mapInArrow(run, schema)
+
+    if most <= 0:
+        return rows.join(requests).limit(0).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
+    scored = reduce(DataFrame.unionByName, [met(requests.filter(dealt == r) if rounds > 1 else requests) for r in range(rounds)])
     w = Window.partitionBy(request_key).orderBy(F.desc("score"), order)
     best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return best if isinstance(k, int) else best.filter(F.col("rank") <= k)
