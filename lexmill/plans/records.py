@@ -90,8 +90,7 @@ sc AS (SELECT *, CASE WHEN nf = norm THEN 120 WHEN starts_with(nf, norm) THEN 80
 
 
 def _scores(requests, parcels):
-    scored = matching.score(matching.lookup(requests, parcels))
-    return scored.select("request", "PIN", F.col("score").cast("long").alias("score"), "street_all")
+    return matching.scores(requests, parcels).select("request", "PIN", F.col("score").cast("long").alias("score"), "street_all")
 
 
 def match_score(spark, d):
@@ -102,7 +101,7 @@ MATCH_SCORE = "WITH " + _SCORED + " SELECT request, PIN, score::BIGINT AS score,
 
 
 def _picks(asked, parcels):
-    return matching.pick(matching.score(matching.lookup(asked, parcels)), asked).select("request", "PIN", "match_status")
+    return matching.picks(asked, parcels).select("request", "PIN", "match_status")
 
 
 def match_pick(spark, d):
