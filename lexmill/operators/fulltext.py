@@ -8,23 +8,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lexmill.functions.text import fold
 
 K1, B = 1.2, 0.75
 #: Bytes of a row group of stored postings: small, so that a term reads little else.
 GROUP_BYTES = 4 << 20
+#: Tokens that a task sorts at a time when it writes an index.
+RUN = 1 << 20
 TOKENS = r"[\p{L}\p{N}\p{Co}]+"
 
 
 @dataclass
 class Index:
-    """Postings (ord, col, pos, term), lengths (ord, dl) and the two numbers of the corpus."""
+    """Postings (ord, col, pos, term), lengths (ord, dl) and the two numbers of the corpus.
+
+    ``lists`` has one row per term, row and column (term, ord, col, tf, positions);
+    ``single`` tells that no term has two of them for one row.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     rows: int
     mean_length: float
+    lists: DataFrame | None = None
+    single: bool = False
+
+    def __post_init__(self):
+        if self.lists is None:
+            self.lists = self.postings.groupBy("term", "ord", "col").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def tokenize(df: DataFrame, ord_col: str, columns: list[str], accents: bool = True) -> DataFrame:
@@ -45,27 +58,74 @@ def build_index(df: DataFrame, ord_col: str, columns: list[str], accents: bool =
     return Index(postings, lengths, rows, total / rows if rows else 0.0)
 
 
+def _lists(batches):
+    """Runs of at least RUN tokens as rows ``term, ord, col, tf, positions`` in the order of terms, then of rows.
+
+    Runs end where a text ends, so a term has one row for each text.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def flush(held):
+        words, pos = held.column("term").combine_chunks().dictionary_encode(), held.column("pos").to_numpy()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        ranks = np.empty(len(words.dictionary), np.int64)
+        ranks[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(ranks))
+        texts = np.cumsum(pos == 0)
+        key = ranks[words.indices.to_numpy()] * (int(texts[-1]) + 1) + texts
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(starts, len(order)).astype(np.int32)
+        first = pa.array(order[starts])
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order].astype(np.int32)))
+        out = held.select(["term", "ord", "col"]).take(first)
+        out = out.append_column("tf", pa.array(np.diff(ends))).append_column("positions", lists)
+        return out.combine_chunks().to_batches(max_chunksize=100_000)
+
+    held, n = [], 0
+    for batch in batches:
+        if n >= RUN and len(at := np.flatnonzero(batch.column("pos").to_numpy() == 0)):
+            yield from flush(pa.Table.from_batches([*held, batch.slice(0, at[0])]))
+            held, n, batch = [], 0, batch.slice(at[0])
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield from flush(pa.Table.from_batches(held))
+
+
 def write_index(df: DataFrame, ord_col: str, columns: list[str], path: str, accents: bool = True) -> None:
     """Tokenises once and stores the index in the folder ``path``; a rebuild replaces it.
 
-    Postings are ranged and sorted by term and row, so that a search's terms pick
-    files and row groups by their statistics; a term that fills many is cut by
-    its rows. Lengths and the corpus numbers are small tables beside them.
+    Each task writes the lists of its own rows in runs sorted by term, without a
+    shuffle, so that a search's terms pick row groups and pages by their
+    statistics. Lengths and the corpus numbers are small tables beside them.
     """
     spark = df.sparkSession
     postings = tokenize(df, ord_col, columns, accents).select("term", "ord", "col", "pos")
-    ranged = postings.repartitionByRange("term", "ord").sortWithinPartitions("term", "ord", "col", "pos")
-    ranged.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
+    kind = StructType([*(postings.schema[c] for c in ("term", "ord", "col")), StructField("tf", IntegerType()), StructField("positions", ArrayType(IntegerType()))])
+    postings.mapInArrow(_lists, kind).write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     found = spark.read.parquet(f"{path}/postings")
-    found.groupBy("ord").agg(F.count(F.lit(1)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    found.groupBy("ord").agg(F.sum("tf").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
     numbers = df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(spark.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")))  # one row each
     numbers.write.mode("overwrite").parquet(f"{path}/numbers")
+    single = F.lit(len(columns) == 1) & (F.count(F.lit(1)) == F.count_distinct(F.col(ord_col)))
+    df.agg(single.alias("single")).write.mode("overwrite").parquet(f"{path}/shape")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """The index that ``write_index`` stored; nothing is read yet but the two corpus numbers."""
+    """The index that ``write_index`` stored; nothing is read yet but the corpus numbers."""
     rows, total = spark.read.parquet(f"{path}/numbers").first()
-    return Index(spark.read.parquet(f"{path}/postings").select("ord", "col", "pos", "term"), spark.read.parquet(f"{path}/lengths"), rows, total / rows if rows else 0.0)
+    lists = spark.read.parquet(f"{path}/postings")
+    postings = lists.select("ord", "col", F.explode("positions").alias("pos"), "term")
+    return Index(postings, spark.read.parquet(f"{path}/lengths"), rows, total / rows if rows else 0.0, lists, spark.read.parquet(f"{path}/shape").first()[0])
+
+
+def term_counts(index: Index) -> DataFrame:
+    """``term, tf, df, positions``: occurrences, rows and the sum of positions of each term."""
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda s, p: s + p)
+    rows = F.count(F.lit(1)) if index.single else F.count_distinct("ord")
+    return index.lists.groupBy("term").agg(F.sum("tf").alias("tf"), rows.alias("df"), F.sum(total).alias("positions"))
 
 
 class QueryError(ValueError):
@@ -238,26 +298,46 @@ def _units(node) -> list[Phrase]:
     return [node] if isinstance(node, Phrase) else [u for p in node.parts for u in _units(p)]
 
 
-def _phrase_hits(postings: DataFrame, u: Phrase) -> DataFrame:
-    """``ord, col, pos`` where a phrase starts: its terms' postings meet at the start they imply, by one aggregate."""
+def _phrase_starts(lists: DataFrame, u: Phrase) -> DataFrame:
+    """``ord, col, starts`` of a phrase; its terms' lists meet by row, each moved to the start it implies."""
     if u.columns is not None:
-        postings = postings.filter(F.col("col").isin(*u.columns))
+        lists = lists.filter(F.col("col").isin(*u.columns))
     n, last = len(u.terms), len(u.terms) - 1
     match = [F.col("term").startswith(t) if u.prefix and i == last else F.col("term") == t for i, t in enumerate(u.terms)]
-    hits = postings.filter(reduce(lambda a, b: a | b, match))
-    if n > 1:
-        slots = F.array_compact(F.array(*(F.when(m, F.lit(i)) for i, m in enumerate(match))))
-        hits = hits.select("ord", "col", "pos", F.explode(slots).alias("slot")).select("ord", "col", (F.col("pos") - F.col("slot")).alias("pos"), "slot")
-        hits = hits.groupBy("ord", "col", "pos").agg(F.count_distinct("slot").alias("k")).filter(F.col("k") == n)
-    hits = hits.select("ord", "col", "pos")
+    hits = lists.filter(reduce(lambda a, b: a | b, match))
+    if n == 1:
+        return hits.select("ord", "col", F.col("positions").alias("starts"))
+
+    def start(i: int) -> Column:
+        return F.transform("positions", lambda p: p - i)
+
+    moved = [F.when(m, start(i)).alias(f"s{i}") for i, m in enumerate(match)]
+    held = hits.select("ord", "col", *moved).groupBy("ord", "col").agg(*(F.flatten(F.collect_list(f"s{i}")).alias(f"s{i}") for i in range(n)))
+    return held.select("ord", "col", reduce(F.array_intersect, [F.col(f"s{i}") for i in range(n)]).alias("starts"))
+
+
+def _phrase_hits(lists: DataFrame, u: Phrase) -> DataFrame:
+    """``ord, col, pos`` where a phrase starts."""
+    hits = _phrase_starts(lists, u).select("ord", "col", F.explode("starts").alias("pos"))
     return hits.filter("pos = 0") if u.first else hits
 
 
-def _near_hits(postings: DataFrame, node: Op) -> DataFrame:
+def _phrase_counts(lists: DataFrame, u: Phrase) -> DataFrame:
+    """``ord, tf`` of the rows with a phrase. Of a single word no positions are read."""
+    if len(u.terms) == 1 and not u.first:
+        own = lists if u.columns is None else lists.filter(F.col("col").isin(*u.columns))
+        found = own.filter(F.col("term").startswith(u.terms[0]) if u.prefix else F.col("term") == u.terms[0])
+    else:
+        starts = F.filter("starts", lambda p: p == 0) if u.first else F.col("starts")
+        found = _phrase_starts(lists, u).select("ord", F.size(starts).alias("tf")).filter("tf > 0")
+    return found.groupBy("ord").agg(F.sum("tf").alias("tf"))
+
+
+def _near_hits(lists: DataFrame, node: Op) -> DataFrame:
     """Rows where every part occurs within the distance in one column: positions meet by joins of their rows."""
     found = None
     for i, u in enumerate(node.parts):
-        own = _phrase_hits(postings, u).select("ord", "col", F.col("pos").alias(f"a{i}"), (F.col("pos") + len(u.terms) - 1).alias(f"b{i}"))
+        own = _phrase_hits(lists, u).select("ord", "col", F.col("pos").alias(f"a{i}"), (F.col("pos") + len(u.terms) - 1).alias(f"b{i}"))
         found = own if found is None else found.join(own, ["ord", "col"])
     k = range(len(node.parts))
     gap = F.greatest(*(F.col(f"a{i}") for i in k), F.lit(-1)) - F.least(*(F.col(f"b{i}") for i in k), F.lit(2**31 - 1)) - 1
@@ -274,16 +354,17 @@ def match(index: Index, node: Phrase | Op) -> DataFrame:
     units = list(dict.fromkeys(_units(node)))
     hits = None
     for i, u in enumerate(units):
-        own = _phrase_hits(index.postings, u).groupBy("ord").agg(F.count(F.lit(1)).alias("tf")).select("ord", F.lit(i).alias("unit"), "tf") if u.terms else None
+        own = _phrase_counts(index.lists, u).select("ord", F.lit(i).alias("unit"), "tf") if u.terms else None
         hits = own if hits is None else hits if own is None else hits.unionByName(own)
     if hits is None:
         return index.lengths.limit(0).select("ord", F.lit(0.0).alias("rank"))
     rows = hits.groupBy("ord").agg(*(F.coalesce(F.max(F.when(F.col("unit") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i in range(len(units))))
-    counts = rows.agg(*(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(units)))).first()
-    rows = rows.join(index.lengths, "ord")
+    # One row beside all others: the lists are read once for both.
+    counts = rows.agg(*(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(units))))
+    rows = rows.join(index.lengths, "ord").crossJoin(F.broadcast(counts))
     nears = [n for n in _ops(node) if n.kind == "NEAR"]
     for j, n in enumerate(nears):
-        rows = rows.join(_near_hits(index.postings, n).withColumn(f"near{j}", F.lit(True)), "ord", "left")
+        rows = rows.join(_near_hits(index.lists, n).withColumn(f"near{j}", F.lit(True)), "ord", "left")
 
     def hit(x) -> Column:
         if isinstance(x, Phrase):
@@ -298,7 +379,7 @@ def match(index: Index, node: Phrase | Op) -> DataFrame:
     def score(x) -> Column:
         if isinstance(x, Phrase):
             i = units.index(x)
-            n, tf = F.lit(float(counts[i])), F.col(f"tf{i}").cast("double")
+            n, tf = F.col(f"n{i}"), F.col(f"tf{i}").cast("double")
             idf = F.ln((F.lit(float(index.rows)) - n + 0.5) / (n + 0.5))
             idf = F.when(idf <= 0, 1e-6).otherwise(idf)
             return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length or 1.0)))
