@@ -81,7 +81,7 @@ FROM documents JOIN s0 ON s0.ord = doc_id JOIN s1 ON s1.ord = doc_id WHERE doc_i
 
 def fts_index(spark, d):
     _, index = _index(spark, d)
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("ord").alias("df"), F.sum("pos").cast("long").alias("positions"))
+    return fulltext.term_counts(index)
 
 
 FTS_INDEX = "WITH " + _TOKENS + "SELECT term, COUNT(*) AS tf, COUNT(DISTINCT ord) AS df, SUM(pos)::BIGINT AS positions FROM tok GROUP BY term"
