@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import contextlib
+import ctypes
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import chunk_id, full_citation
 
 MAX_CHARS = 900
+#: Bytes of texts that are Python objects at a time.
+SLICE = 1_000_000
 
 
 def _words(text: str, most: int) -> list[str]:
@@ -40,12 +48,27 @@ def _paragraphs(text: str, most: int) -> list[str]:
     return [*out, held] if held else out
 
 
+def _pieces(texts: pa.Array, split: Callable[[str], list[str]]) -> pa.Array:
+    """The pieces of each text. Python holds about SLICE bytes of texts at a time, and gives memory back after each batch."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(lengths.astype(np.int64) + 64) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    kind = pa.list_(pa.string())
+    out = [pa.array([split(t or "") for t in texts.slice(x, y - x).to_pylist()], kind) for x, y in zip(cuts, cuts[1:], strict=False)]
+    found = out[0] if len(out) == 1 else pa.concat_arrays(out)
+    del out
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do it by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return found
+
+
 def word_pack(c: Column, most: int = MAX_CHARS) -> Column:
     """``array<string>``: the text's words packed into pieces of at most ``most`` characters; an Arrow batch at a time."""
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _words(t or "", most))
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        return _pieces(texts, lambda t: _words(t, most))
 
     return pack(c)
 
@@ -53,9 +76,9 @@ def word_pack(c: Column, most: int = MAX_CHARS) -> Column:
 def paragraph_pack(c: Column, most: int = MAX_CHARS) -> Column:
     """``array<string>``: the text's paragraphs packed likewise."""
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _paragraphs(t or "", most))
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        return _pieces(texts, lambda t: _paragraphs(t, most))
 
     return pack(c)
 
