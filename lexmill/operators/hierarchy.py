@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import condense, is_footer, mend_hyphens, rstrip, strip
+from lexmill.sources.folders import scratch
 
 
 def title_range(pages: DataFrame, number: int, following: int | None) -> DataFrame:
@@ -30,14 +31,37 @@ def explode_lines(pages: DataFrame) -> DataFrame:
     return lines.filter(F.col("raw").isNull() | ~is_footer(F.col("raw"))).drop("_raw")
 
 
+def _before(pages: DataFrame, **values: Column) -> DataFrame:
+    """Per page what the aggregates ``values`` say of all earlier pages of its title: one narrow row per page, however many lines it has."""
+    w = Window.partitionBy("_page.title_number").orderBy("_page.page_number").rowsBetween(Window.unboundedPreceding, -1)
+    return pages.select("_page", *(v.over(w).alias(name) for name, v in values.items()))
+
+
+def _paged(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("_page", F.struct("title_number", "page_number"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``ord``, their place in the title from 1: those of earlier pages are counted by page, so no task sorts a title's lines.
+
+    The lines are stored first, so that counting them does not split the pages again.
+    """
+    path = scratch(lines.sparkSession, "split")
+    lines.write.parquet(path)
+    x = _paged(lines.sparkSession.read.parquet(path))
+    earlier = _before(x.groupBy("_page").agg(F.count(F.lit(1)).alias("_n")), _earlier=F.sum("_n"))
+    own = F.row_number().over(Window.partitionBy("_page").orderBy("line_no"))
+    x = x.withColumn("ord", own).join(earlier, "_page")
+    return x.withColumn("ord", (F.col("ord") + F.coalesce("_earlier", F.lit(0))).cast("int")).drop("_page", "_earlier")
+
+
 _SUBTITLE = r"(?i)^subtitle\S*\s([IVXLCDM]+[A-Z]?)[.\-]*(?:\s(.*))?$"
 
 
 def headings(lines: DataFrame) -> DataFrame:
     """Lines with ``ord`` and what each would open: kind0, number, title. The order of tests is subtitle, division, chapter, section."""
     c, prefix = F.col("cond"), F.concat(F.col("title_number").cast("string"), F.lit(r"\."))
-    out = lines.withColumn("cond", condense(F.col("raw"))).withColumn("line", strip(F.col("raw")))
-    out = out.withColumn("ord", F.row_number().over(Window.partitionBy("title_number").orderBy("page_number", "line_no")))
+    out = numbered(lines).withColumn("cond", condense(F.col("raw"))).withColumn("line", strip(F.col("raw")))
 
     def groups(pattern: Column, n: int) -> Column:
         return F.call_function("regexp_extract", c, pattern, F.lit(n))
@@ -63,41 +87,59 @@ def headings(lines: DataFrame) -> DataFrame:
 def carry_forward(lines: DataFrame) -> DataFrame:
     """Every line with the ``ord`` of the subtitle, division, chapter and section that are open at it (null: none) and its owner's.
 
-    Windows over a title's lines take the place of the state machine: running
+    Windows over a page's lines take the place of the state machine: running
     maxima give the last heading of each kind, and a heading of a higher kind
-    closes those below it. Parallel by title.
+    closes those below it. What earlier pages leave open comes from one row per
+    page, so a task holds pages and not titles. The lines are stored once.
     """
-    w = Window.partitionBy("title_number").orderBy("ord")
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    x = lines.withColumn("_seen", F.max((F.col("kind0") == "subtitle").cast("int")).over(upto))
+    low = F.lower(F.col("line"))
+    x = _paged(lines).drop("cond", "raw").withColumn("_bare", F.col("title") == "").withColumn("_plain", low != "sections:").withColumn("_names", low.rlike(r"(?U)^subtitle\b") | low.startswith("chapter "))
+    path = scratch(lines.sparkSession, "lines")
+    x.write.parquet(path)
+    x = _open(lines.sparkSession.read.parquet(path))
+    return title_fills(x).drop("_page", "_bare", "_plain", "_names", "_s", "_c")
+
+
+def _open(x: DataFrame) -> DataFrame:
+    """``kind`` and the open headings; ``_s`` and ``_c`` also tell whether the last subtitle and chapter lack a title."""
+    k = F.col("kind0")
+    heads = {"_s": k == "subtitle", "_c": k.isin("chapter", "chapter_short")}
+    heads = {name: F.when(is_, F.struct("ord", "_bare")) for name, is_ in heads.items()}
+    ords = {"_d": F.when(k == "division", F.col("ord")), "_e": F.when(k == "section", F.col("ord"))}
+    first = F.when(k == "subtitle", F.col("ord"))
+    pages = x.groupBy("_page").agg(*(F.max(v).alias(name) for name, v in (heads | ords).items()), F.min(first).alias("_f"))
+    earlier = _before(pages, **{f"{name}0": F.max(name) for name in (*heads, *ords)}, _f0=F.min("_f"))
+    x = x.join(earlier, "_page")
+    upto = Window.partitionBy("_page").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    for name, v in (heads | ords).items():
+        x = x.withColumn(name, F.coalesce(F.max(v).over(upto), F.col(f"{name}0")))
+    x = x.withColumn("_f", F.coalesce(F.col("_f0"), F.min(first).over(upto)))
     # A division before any subtitle is text; a line that reads as a division can't be a chapter or section as well.
-    x = x.withColumn("kind1", F.when((F.col("kind0") == "division") & (F.col("_seen") == 0), F.col("_if_not_division")).when(F.col("kind0") == "chapter_short", "chapter").otherwise(F.col("kind0")))
-    struct = F.when(F.col("kind1").isin("subtitle", "division", "chapter"), F.col("kind1"))
-    x = x.withColumn("_last", F.last(struct, ignorenulls=True).over(before))
-    x = x.withColumn("kind", F.when((F.col("kind1") == "section") & (F.coalesce("_last", F.lit("")) != "chapter"), "text").otherwise(F.col("kind1")))
-    for name, kind in (("s1", "subtitle"), ("d1", "division"), ("c1", "chapter"), ("e1", "section")):
-        x = x.withColumn(name, F.max(F.when(F.col("kind") == kind, F.col("ord"))).over(upto))
+    kind = F.when((k == "division") & (F.col("_f").isNull() | (F.col("_f") > F.col("ord"))), F.col("_if_not_division")).when(k == "chapter_short", "chapter").otherwise(k)
     zero = F.lit(0)
-    x = x.withColumn("sub", F.col("s1")).withColumn("div", F.when(F.col("d1") > F.coalesce("s1", zero), F.col("d1")))
-    x = x.withColumn("chap", F.when(F.col("c1") > F.greatest(F.coalesce("s1", zero), F.coalesce("d1", zero)), F.col("c1")))
-    x = x.withColumn("sec", F.when(F.col("e1") > F.col("chap"), F.col("e1")))
-    return title_fills(x)
+    x = x.withColumn("sub", F.col("_s.ord")).withColumn("_d", F.when(F.col("_d") > F.col("_f"), F.col("_d")))
+    x = x.withColumn("div", F.when(F.col("_d") > F.coalesce("sub", zero), F.col("_d")))
+    x = x.withColumn("chap", F.when(F.col("_c.ord") > F.greatest(F.coalesce("sub", zero), F.coalesce("_d", zero)), F.col("_c.ord")))
+    # A section where no chapter is open is text, so all since the open chapter are sections.
+    x = x.withColumn("kind", F.when((kind == "section") & F.col("chap").isNull(), "text").otherwise(kind))
+    x = x.withColumn("sec", F.when(F.col("_e") > F.col("chap"), F.col("_e")))
+    return x.drop("_d", "_e", "_f", *(f"{name}0" for name in (*heads, *ords)), "_f0")
 
 
 def title_fills(x: DataFrame) -> DataFrame:
     """Headings without a title take the first fitting text line, which then is no body; owners follow."""
-    low = F.lower(F.col("line"))
-    text = (F.col("kind") == "text") & (low != "sections:")
-    by_sub, by_chap = Window.partitionBy("title_number", "sub"), Window.partitionBy("title_number", "chap")
-    x = x.withColumn("_st", F.max(F.when(F.col("kind") == "subtitle", F.col("title"))).over(by_sub))
-    x = x.withColumn("_ct", F.max(F.when(F.col("kind") == "chapter", F.col("title"))).over(by_chap))
-    fit_s = text & F.col("sub").isNotNull() & (F.col("_st") == "") & F.col("chap").isNull() & ~low.rlike(r"(?U)^subtitle\b") & ~low.startswith("chapter ")
-    x = x.withColumn("_fs", F.min(F.when(fit_s, F.col("ord"))).over(by_sub))
-    fit_c = text & F.col("chap").isNotNull() & (F.col("_ct") == "") & F.col("sec").isNull()
-    x = x.withColumn("_fc", F.min(F.when(fit_c, F.col("ord"))).over(by_chap))
-    x = x.withColumn("fill", F.when(F.col("ord") == F.col("_fs"), "subtitle").when(F.col("ord") == F.col("_fc"), "chapter"))
+    text = (F.col("kind") == "text") & F.col("_plain")
+    fit_s = text & F.col("sub").isNotNull() & F.col("_s._bare") & F.col("chap").isNull() & ~F.col("_names")
+    fit_c = text & F.col("chap").isNotNull() & F.col("_c._bare") & F.col("sec").isNull()
+    fits = {"_fs": F.when(fit_s, F.col("ord")), "_fc": F.when(fit_c, F.col("ord"))}
+    pages = x.groupBy("_page").agg(*(F.max(v).alias(name) for name, v in fits.items()))
+    x = x.join(_before(pages, _fs0=F.max("_fs"), _fc0=F.max("_fc")), "_page")
+    before = Window.partitionBy("_page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    for name, v in fits.items():
+        x = x.withColumn(name, F.coalesce(F.max(v).over(before), F.col(f"{name}0"), F.lit(0)))
+    x = x.withColumn("fill", F.when(fit_s & (F.col("_fs") < F.col("sub")), "subtitle").when(fit_c & (F.col("_fc") < F.col("chap")), "chapter"))
     owner = F.when(F.col("kind").isin("subtitle", "division", "chapter", "section"), F.col("ord")).when(F.col("fill") == "subtitle", F.col("sub")).when(F.col("fill") == "chapter", F.col("chap"))
-    return x.withColumn("owner", owner.otherwise(F.coalesce("sec", "chap", "div", "sub", F.lit(0)))).drop("_st", "_ct", "_fs", "_fc")
+    return x.withColumn("owner", owner.otherwise(F.coalesce("sec", "chap", "div", "sub", F.lit(0)))).drop("_fs", "_fc", "_fs0", "_fc0")
 
 
 def nodes(x: DataFrame) -> DataFrame:
