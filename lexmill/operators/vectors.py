@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 BATCH = 64
 #: Requests that meet a table in one round, rows that are scored together, scores that are held at a time.
 ROUND, BLOCK, CELLS = 8192, 4096, 1 << 20
+#: Lengths between which single precision tells which pairs to sum exactly.
+SHORT, LONG = 1e-12, 1e15
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,7 +69,7 @@ def encode(df: DataFrame, text: str, model: Callable = None, out: str = "embeddi
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    """All rows as the Arrow bytes of one row."""
+    """All rows as the Arrow bytes of one row, with the key 0 to join it by."""
 
     def pack(batches):
         import pyarrow as pa
@@ -76,9 +79,9 @@ def _packed(df: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink := pa.BufferOutputStream(), held[0].schema) as out:
                 for b in held:
                     out.write_batch(b)
-            yield pa.RecordBatch.from_pydict({"_asked": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"_first": pa.array([0], pa.int32()), "_asked": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    return df.repartition(1).mapInArrow(pack, "_asked binary")
+    return df.repartition(1).mapInArrow(pack, "_first int, _asked binary")
 
 
 def _matrices(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -104,45 +107,128 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(a: np.ndarray, b: np.ndarray, most: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _firsts(values: np.ndarray, most: int) -> np.ndarray:
+    """The rows less those behind ``most`` earlier ones of the same bits, which they cannot pass."""
+    rows = np.arange(len(values))
+    if len(values) <= most or not values.shape[1]:
+        return rows[:most]
+    bits = np.ascontiguousarray(values).view(np.uint64)
+    factors = np.random.default_rng(7).integers(1, 2**63, bits.shape[1], np.uint64) | np.uint64(1)
+    mixed = ((bits ^ (bits >> np.uint64(29))) * factors).sum(1)
+    order = np.argsort(mixed, kind="stable")
+    mixed = mixed[order]
+    if not (mixed[most:] == mixed[:-most]).any():
+        return rows
+    opens = np.searchsorted(mixed, mixed)
+    equal = (bits[order] == bits[order[opens]]).all(1)
+    place = np.cumsum(equal)
+    return np.sort(order[~(equal & (place - place[opens] >= most))])
+
+
+class _Side(NamedTuple):
+    """Vectors of one length, whose own lengths follow their components in ``single``.
+
+    ``grade``: 0 where single precision tells near scores, 1 where double does, 2 for what is not finite.
+    """
+
+    values: np.ndarray
+    single: np.ndarray
+    lengths: np.ndarray
+    grade: np.ndarray
+
+    def take(self, rows) -> _Side:
+        return _Side(*(x[rows] for x in self))
+
+
+def _side(values: np.ndarray) -> _Side:
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        lengths = np.sqrt((values * values).sum(1))
+        greatest = np.abs(values).max(1, initial=0)
+        # Squares may vanish where the components do not.
+        lengths = np.where(lengths < SHORT, greatest * np.sqrt(values.shape[1]), lengths)
+        grade = np.where((greatest == 0) | (lengths > SHORT) & (lengths < LONG), 0, np.where(np.isfinite(lengths), 1, 2))
+        return _Side(values, np.column_stack([values, lengths]).astype(np.float32), lengths, grade)
+
+
+def _may(a: _Side, b: _Side, most: int, low: np.ndarray) -> np.ndarray:
+    """Which pairs of finite vectors may reach ``low``, which rises where the product itself shows as many rows above it.
+
+    The rounding error of a pair is within a multiple of the product of both
+    lengths, so with the lengths as a further component the product is a bound.
+    """
+    single = not (a.grade.any() or b.grade.any())
+    left, right = (x.single if single else np.column_stack([x.values, x.lengths]) for x in (a, b))
+    size, width = right.shape
+    sign = np.ones(width, right.dtype)
+    sign[-1] = 4 * (width + 2) * np.finfo(right.dtype).eps
+    fresh = np.flatnonzero(np.isneginf(low))
+    if len(fresh) and size > most:
+        least = (left[fresh] * np.where(np.arange(width) < width - 1, sign, -sign)) @ right.T
+        if (groups := 8 * most) < size:
+            # The greatest of each group are different rows.
+            least = np.maximum.reduceat(least, np.arange(groups) * size // groups, axis=1)
+        low[fresh] = np.partition(least, least.shape[1] - most, axis=1)[:, least.shape[1] - most]
+    with np.errstate(over="ignore"):
+        return ~((left * sign) @ right.T < (low - 1e-300).astype(right.dtype)[:, None])
+
+
+def _best(a: _Side, b: _Side, most: int, floor: np.ndarray, best: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``request, row, score`` of the best rows of each request that beat its ``floor``, which rises to the last of as many.
 
-    A matrix product tells which pairs can be among them within its rounding
-    error; only these are summed exactly. Of equal scores the earlier row counts,
-    NaN is above all numbers, and what is not finite is always summed.
+    Matrix products tell which pairs can be among them within their rounding
+    error; only these are summed exactly, about CELLS values at a time. Of equal
+    scores the earlier row counts, NaN is above all numbers, and pairs with what
+    is not finite are always summed. ``best`` has the best scores of each request
+    among all rows so far, by which its floor rises further.
     """
-    width, longest = a.shape[1], np.sqrt((b * b).sum(1)).max()
-    approx = a @ b.T
-    error = 4 * (width + 2) * np.finfo(float).eps * np.sqrt((a * a).sum(1)) * longest + 1e-300
     low = floor.copy()
-    fresh = np.flatnonzero(np.isneginf(floor))
-    if len(fresh) and len(b) > most:
-        low[fresh] = np.partition(approx[fresh], len(b) - most, axis=1)[:, len(b) - most] - error[fresh]
-    q, r = np.nonzero(~(approx < (low - error)[:, None]) | ~np.isfinite(approx))
-    score = _exact(a[q], b[r])
+    if not (a.grade.any() or b.grade.any()):
+        may = _may(a, b, most, low)
+    else:
+        may = np.ones((len(a.values), len(b.values)), bool)
+        for g in (0, 1):
+            for h in (0, 1):
+                own, rows = np.flatnonzero(a.grade == g), np.flatnonzero(b.grade == h)
+                if len(own) and len(rows):
+                    bound = low[own]
+                    may[np.ix_(own, rows)] = _may(a.take(own), b.take(rows), most, bound)
+                    low[own] = bound
+    q, r = np.divmod(np.flatnonzero(may), len(b.values))
+    step = max(1, CELLS // max(1, a.values.shape[1]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.concatenate([np.zeros(0), *(_exact(a.values[q[i : i + step]], b.values[r[i : i + step]]) for i in range(0, len(q), step))])
     beats = ~(score <= floor[q]) | np.isneginf(floor[q])
     q, r, score = q[beats], r[beats], score[beats]
     order = np.lexsort((r, -score, ~np.isnan(score), q))
     q, r, score = q[order], r[order], score[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
-    last = place == most - 1
-    rises = np.where(np.isnan(score[last]), np.inf, score[last])
-    floor[q[last]] = np.maximum(floor[q[last]], rises)
-    return q[place < most], r[place < most], score[place < most]
-
-
-def _meet(vector: str, query: str, asked_columns: list[str], most: int):
+    q, r, score, place = (x[place < most] for x in (q, r, score, place))
+    marks, last = np.where(np.isnan(score), np.inf, score), place == most - 1
+    floor[q[last]] = np.maximum(floor[q[last]], marks[last])
+    if best is not None and len(q):
+        met, slot = np.unique(q, return_inverse=True)
+        more = np.full((len(met), most), -np.inf)
+        more[slot, place] = marks
+        best[met] = np.partition(np.concatenate([best[met], more], axis=1), most, axis=1)[:, most:]
+        floor[met] = np.maximum(floor[met], best[met].min(1))
+    return q, r, score
+
+
+def _meet(vector: str, query: str, asked_columns: list[str], most: int, kept_rows: list[str], kept_asked: list[str]):
     def run(batches):
         import pyarrow as pa
 
         asked = None
         for batch in batches:
-            first = batch.column("_asked")
             if asked is None:
-                blob = first.drop_null()
+                blob = batch.column("_asked").drop_null()
+                if not len(blob):
+                    continue
                 asked = pa.ipc.open_stream(blob[0].as_buffer()).read_all().combine_chunks().select(asked_columns).to_batches()[0]
-                wanted = _matrices(asked.column(query))
+                wanted = {n: (ids, _side(a)) for n, (ids, a) in _matrices(asked.column(query)).items()}
+                brings = asked.select(kept_asked)
                 floor, seen = np.full(asked.num_rows, -np.inf), np.zeros(asked.num_rows, np.int64)
+                tops = np.full((asked.num_rows, most), -np.inf) if asked.num_rows * most <= CELLS else None
             rows, found = batch.select([c for c in batch.schema.names if c != "_asked"]), []
             for at in range(0, rows.num_rows, BLOCK):
                 part = rows.slice(at, BLOCK)
@@ -152,12 +238,17 @@ def _meet(vector: str, query: str, asked_columns: list[str], most: int):
                     if n not in held:
                         continue
                     theirs, b = held[n]
-                    step = max(1, CELLS // len(b))
+                    few = _firsts(b, most)
+                    theirs, b = theirs[few], _side(b[few])
+                    step = max(1, CELLS // len(few))
                     for k in range(0, len(ids), step):
-                        own = floor[ids[k : k + step]]
-                        q, r, score = _best(a[k : k + step], b, most, own)
-                        floor[ids[k : k + step]] = own
-                        found.append((ids[k + q], theirs[r] + at, score))
+                        some = ids[k : k + step]
+                        own, best = floor[some], None if tops is None else tops[some]
+                        q, r, score = _best(a.take(slice(k, k + step)), b, most, own, best)
+                        floor[some] = own
+                        if best is not None:
+                            tops[some] = best
+                        found.append((some[q], theirs[r] + at, score))
                 # Rows without a score come last, and only where too few have one.
                 scored = np.zeros(asked.num_rows, np.int64)
                 lacks = np.full(asked.num_rows, -1, np.int64)
@@ -172,40 +263,51 @@ def _meet(vector: str, query: str, asked_columns: list[str], most: int):
                 continue
             q, r, score = (np.concatenate([f[i] for f in found]) for i in range(3))
             blank = np.concatenate([np.full(len(f[0]), len(f) > 3) for f in found])
+            # The floor has risen since: what is below it now has as many better rows in this task.
+            stays = blank | ~(score < floor[q])
+            q, r, score, blank = q[stays], r[stays], score[stays], blank[stays]
+            rows = rows.select(kept_rows)
             for at in range(0, len(q), BLOCK):
                 cut = slice(at, at + BLOCK)
-                left, right = rows.take(pa.array(r[cut])), asked.take(pa.array(q[cut]))
+                left, right = rows.take(pa.array(r[cut])), brings.take(pa.array(q[cut]))
                 yield pa.RecordBatch.from_arrays([*left.columns, *right.columns, pa.array(score[cut], mask=blank[cut])], names=[*left.schema.names, *right.schema.names, "score"])
 
     return run
 
 
-def search_many(requests: DataFrame, vectors: DataFrame, k: int | Column, *, request_key: str = "label", order: str = "ord", where: Column | None = None) -> DataFrame:
+def search_many(requests: DataFrame, vectors: DataFrame, k: int | Column, *, request_key: str = "label", order: str = "ord", where: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """The k best rows per request by inner product, exact, for many requests in one job.
 
     ``requests`` (``label, query_vector``) meet the table in rounds of at most
     about ROUND, dealt out by a hash, so what is broadcast does not grow with
-    them: a round's requests are one row of bytes, which each task's first row
-    brings to it. The table's filters and columns are pushed into the scan. A task
-    scores its rows in order by matrix products and keeps per request the score
-    that a further row has to beat, so few rows more than the largest k leave it.
+    them: a round's requests are one row of bytes, which joins each task's first
+    row and no other. The table's filters and columns are pushed into the scan. A
+    task scores its rows in order by matrix products and keeps per request the
+    score that a further row has to beat, so few rows more than the largest k
+    leave it, with the columns of both sides that ``keep`` names (all, if None;
+    ``request_key``, ``order`` and what ``k`` needs always).
     """
     rows = vectors if where is None else vectors.filter(where)
-    rounds = max(1, -(-requests.count() // ROUND))
-    most = k if isinstance(k, int) else requests.agg(F.max(k)).first()[0] or 0
+    if not isinstance(k, int):
+        requests = requests.withColumn("_k", k)
+    asked_columns = requests.columns
+    count, most = requests.agg(F.count(F.lit(1)), F.lit(k) if isinstance(k, int) else F.max("_k")).first()
+    rounds, most = max(1, -(-count // ROUND)), int(most or 0)
+    named = {*(rows.columns + asked_columns if keep is None else keep), request_key, order, "_k"}
+    kept_rows, kept_asked = ([c for c in df.columns if c in named] for df in (rows, requests))
+    if most <= 0:
+        return rows.select(kept_rows).join(requests.select(kept_asked)).limit(0).drop("_k").withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
     dealt = F.pmod(F.xxhash64(F.col(request_key)), F.lit(rounds))
-    schema = StructType([*rows.schema.fields, *requests.schema.fields, StructField("score", DoubleType())])
-    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0
+    schema = StructType([*(rows.schema[c] for c in kept_rows), *(requests.schema[c] for c in kept_asked), StructField("score", DoubleType())])
+    # Only a task's first row has a key to join by, so the bytes are not copied for the others.
+    first = F.when(F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0, 0)
     marked = rows.repartition(order).sortWithinPartitions(order).withColumn("_first", first)
-    run = _meet("embedding", "query_vector", requests.columns, max(0, int(most)))
+    run = _meet("embedding", "query_vector", asked_columns, most, kept_rows, kept_asked)
 
     def met(own: DataFrame) -> DataFrame:
-        brought = marked.join(F.broadcast(_packed(own)))
-        return brought.withColumn("_asked", F.when(F.col("_first"), F.col("_asked"))).drop("_first").mapInArrow(run, schema)
+        return marked.join(F.broadcast(_packed(own)), "_first", "left").drop("_first").mapInArrow(run, schema)
 
-    if most <= 0:
-        return rows.join(requests).limit(0).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
     scored = reduce(DataFrame.unionByName, [met(requests.filter(dealt == r) if rounds > 1 else requests) for r in range(rounds)])
     w = Window.partitionBy(request_key).orderBy(F.desc("score"), order)
     best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return best if isinstance(k, int) else best.filter(F.col("rank") <= k)
+    return best if isinstance(k, int) else best.filter(F.col("rank") <= F.col("_k")).drop("_k")

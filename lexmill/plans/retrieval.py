@@ -177,6 +177,10 @@ def _asked(spark, d, every):
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
 
 
+def _search(asked, rows, k, **more):
+    return vectors.search_many(asked, rows, k, request_key="query_id", keep=["query_id", "ord"], **more)
+
+
 def _top(found, *more):
     return found.select("query_id", "rank", F.col("ord").alias("vec_id"), F.round("score", 6).alias("score"), *more)
 
@@ -186,14 +190,14 @@ _RANKED = "SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS sc
 
 
 def vector_topk(spark, d):
-    return _top(vectors.search_many(_asked(spark, d, 100), _vectors(spark, d), 5, request_key="query_id"))
+    return _top(_search(_asked(spark, d, 100), _vectors(spark, d), 5))
 
 
 VECTOR_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) " + _RANKED.format(k=5)
 
 
 def vector_filtered_topk(spark, d):
-    return _top(vectors.search_many(_asked(spark, d, 100), _vectors(spark, d), 10, request_key="query_id", where=F.col("label").isin(1, 3)))
+    return _top(_search(_asked(spark, d, 100), _vectors(spark, d), 10, where=F.col("label").isin(1, 3)))
 
 
 VECTOR_FILTERED_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.label IN (1, 3)) " + _RANKED.format(k=10)
@@ -202,7 +206,7 @@ VECTOR_FILTERED_TOPK = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT
 def evidence_fanout(spark, d):
     """Each request has a count of its own."""
     asked = _asked(spark, d, 100).withColumn("top_k", (F.col("query_id") / 100 % 4 + 1).cast("int"))
-    return _top(vectors.search_many(asked, _vectors(spark, d), F.col("top_k"), request_key="query_id"))
+    return _top(_search(asked, _vectors(spark, d), F.col("top_k")))
 
 
 EVIDENCE_FANOUT = f"WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) SELECT query_id, rank::INTEGER AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= floor(query_id / 100.0 % 4 + 1)"
@@ -213,7 +217,7 @@ def hybrid_gate(spark, d):
     docs, index = _index(spark, d)
     gate = fulltext.candidates(docs, index, "with OR para", ["text"]).withColumnRenamed("ord", "_o")
     rows = _vectors(spark, d).join(gate, F.col("ord") == F.col("_o"), "left_semi")
-    return _top(vectors.search_many(_asked(spark, d, 100), rows, 5, request_key="query_id"))
+    return _top(_search(_asked(spark, d, 100), rows, 5))
 
 
 HYBRID_GATE = "WITH " + _TOKENS + f", g AS (SELECT DISTINCT ord FROM tok WHERE term IN ('with', 'para') ORDER BY ord LIMIT 200), s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.vec_id IN (SELECT ord FROM g)) " + _RANKED.format(k=5)
