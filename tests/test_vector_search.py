@@ -58,6 +58,7 @@ def test_requests_reach_a_task_once(spark):
 def test_lengths_of_every_size_equal_every_pair(spark, monkeypatch):
     """Lengths beyond single precision, beyond its error and beyond double's squares, with copies and zeros."""
     monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "ROUND", 16)
     rng = random.Random(5)
     some = [(i, [rng.choice([0.0, 1.0, -0.5, 0.3]) * 10.0 ** rng.choice([-200, -160, -30, -11, 0, 0, 0, 7, 20, 150]) for _ in range(5)] if rng.random() < 0.7 else [0.1, -0.5, 0.0, 0.2, 1.0]) for i in range(700)]
     rows = spark.createDataFrame(some, "ord long, embedding array<double>")
